@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, neardup
+from tracewell.llm import bpe, neardup, splits, vectors
 from tracewell.sources.tables import table
 
 
@@ -17,10 +17,33 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(name.alias("field"), "key_a", "key_b")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of skills of which one is among the other's 8 most similar, with a cosine of 0.80 or more."""
+    near = vectors.similar_pairs(table(spark, sf_dir, "skills"), "name", "embedding", 96, 8, 0.80)
+    return near.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b")).distinct()
+
+
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.key_links(*splits.cross_split(splits.task_sides(table(spark, sf_dir, "tasks")), 0.75))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training task and a task of another split whose prompts overlap by 0.75 or more."""
+    return _p4(spark, sf_dir).where("train_key <> other_key").select(F.least("train_key", "other_key").alias("task_a"), F.greatest("train_key", "other_key").alias("task_b")).distinct()
+
+
+def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each split (but train) and source: tasks, tasks that overlap with training, and their greatest and mean share of chunks."""
+    tasks = table(spark, sf_dir, "tasks")
+    own = tasks.where("id is not null and trim(split) <> ''").select(F.col("id").alias("other_key"), F.lower(F.trim("split")).alias("split"), "source").where("split <> 'train'").distinct()
+    hit = _p4(spark, sf_dir).groupBy("other_key").agg(F.max("part_other").alias("part"))
+    return own.join(hit, "other_key", "left").groupBy("split", "source").agg(F.count("*").alias("tasks"), F.count("part").alias("overlapping"), F.max("part").alias("most_shared"), F.avg("part").alias("mean_shared"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {}
