@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, neardup, splits, vectors
+from tracewell.llm import bpe, leaks, neardup, splits, subjects, vectors
 from tracewell.sources.tables import table
 
 
@@ -45,5 +45,27 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items of which they hold at least 13 successive words."""
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of held-out item: items, items that leaked, and documents they leaked into."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "kind").distinct()
+    return items.join(p7_found(spark, sf_dir), "item_id", "left").groupBy("kind").agg(F.count_distinct("item_id").alias("items"), F.count_distinct(F.when(F.col("doc_id").isNotNull(), F.col("item_id"))).alias("leaked"), F.count("doc_id").alias("doc_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the subjects with which at least a quarter of their statements deal."""
+    return subjects.document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects")).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents with it, and their share of all documents."""
+    n = table(spark, sf_dir, "documents").agg(F.count_distinct("doc_id").alias("n"))  # one row
+    return p8_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents")).join(F.broadcast(n)).select("subject", "documents", (F.col("documents") / F.col("n")).alias("share"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 ORACLES: dict[str, str] = {}
