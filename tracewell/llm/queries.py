@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, leaks, neardup, splits, subjects, vectors
+from tracewell.llm import bpe, cuts, leaks, neardup, splits, subjects, vectors
 from tracewell.sources.tables import table
 
 
@@ -40,6 +40,18 @@ def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(hit, "other_key", "left").groupBy("split", "source").agg(F.count("*").alias("tasks"), F.count("part").alias("overlapping"), F.max("part").alias("most_shared"), F.avg("part").alias("mean_shared"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results and errors of tool calls that were cut."""
+    return cuts.cut_texts(table(spark, sf_dir, "traces"))[0].select("trace_id", "step_pos", "call_pos", "field")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each agent and field: texts, cut texts, and the rate of cut ones."""
+    cut, texts, _ = cuts.cut_texts(table(spark, sf_dir, "traces"))
+    every = texts.groupBy("agent", "field").agg(F.count_distinct("trace_id", "step_pos", "call_pos").alias("texts"))
+    return every.join(cut.groupBy("agent", "field").agg(F.count("*").alias("cut")), ["agent", "field"], "left").select("agent", "field", "texts", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("texts")).alias("rate"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
@@ -67,5 +79,5 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents")).join(F.broadcast(n)).select("subject", "documents", (F.col("documents") / F.col("n")).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 ORACLES: dict[str, str] = {}
