@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, cuts, leaks, neardup, splits, subjects, vectors
+from tracewell.llm import bpe, cuts, leaks, neardup, secrets, splits, subjects, vectors
 from tracewell.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live credentials in arguments, results and contents, by the place of their first character."""
+    return secrets.credentials(table(spark, sf_dir, "traces")).select("trace_id", "step_pos", "call_pos", "field", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a credential, each with its credentials replaced."""
+    return secrets.redacted(table(spark, sf_dir, "traces"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of near-duplicate skill bodies, skill descriptions and lesson rules (overlap 0.70 or more)."""
     texts = neardup.stacked(table(spark, sf_dir, "skills"), table(spark, sf_dir, "lessons"))
@@ -79,5 +89,5 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents")).join(F.broadcast(n)).select("subject", "documents", (F.col("documents") / F.col("n")).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 ORACLES: dict[str, str] = {}
