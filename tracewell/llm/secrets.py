@@ -93,7 +93,7 @@ def placeholder(v: str) -> bool:
 
 _bare_stop = re.compile(r"[\s\"'`;,&<>|)\]}]|\\")
 _escaped = re.compile(r"\\+[nrt]")
-_env = re.compile(r"\\u[0-9a-fA-F]{4}|[\ue000-\uf8ff]")
+_env = re.compile(r"\\+u[0-9a-fA-F]{4}|[\ue000-\uf8ff]")
 
 
 def literal(text: str, at: int) -> tuple[int, int, bool] | None:
