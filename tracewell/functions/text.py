@@ -68,8 +68,8 @@ def _literals(words) -> Column:
 def _split_terms(text: Column, least: int, stop: list[str]) -> Column:
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     parts = F.flatten(F.transform(tokens, lambda w: F.concat(F.array(w), F.split(w, r"[_.\-]+"))))
-    kept = F.filter(parts, lambda p: (F.length(p) >= least) & ~p.rlike(r"^[0-9]+$"))
-    return F.array_except(F.array_distinct(kept), _literals(stop))
+    # A test against the list for each word is a look-up in one set; array_except would build the set for each row.
+    return F.array_distinct(F.filter(parts, lambda p: (F.length(p) >= least) & ~p.isin(*stop) & ~p.rlike(r"^[0-9]+$")))
 
 
 def facet_terms(text: Column) -> Column:
@@ -145,4 +145,4 @@ def distinctive_words(triggers: Column, rule: Column) -> Column:
     """Distinct words over 3 characters of triggers and rule, without generic ones."""
     text = F.concat_ws(" ", F.array_join(F.coalesce(triggers, F.array().cast("array<string>")), " "), rule)
     found = F.transform(F.split(F.lower(text), r"[ \n\t\r]+"), lambda w: F.regexp_replace(w, r"^[.,:;()]+|[.,:;()]+$", ""))
-    return F.array_except(F.array_distinct(F.filter(found, lambda w: F.length(w) > 3)), _literals(GENERIC))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 3) & ~w.isin(*GENERIC)))

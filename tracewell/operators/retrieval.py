@@ -38,17 +38,14 @@ def idf(index: DataFrame, names: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
 
 
-def best_phrase(terms: Column, phrases: Column) -> Column:
-    """The best share of a phrase's terms among ``terms``; a phrase needs two terms, and two shared or a share of 0.6.
+def best_phrases(asked: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(qid, name, phrase): the best share of a phrase's terms in a query (qid, words); phrases are (name, at, terms).
 
-    ``phrases`` holds the terms of each phrase.
+    A phrase needs two terms, and two of them shared or a share of 0.6. Met through an index of phrase terms.
     """
-    def one(best: Column, p: Column) -> Column:
-        shared = F.size(F.array_intersect(p, terms))
-        share = shared / F.when(F.size(p) > 0, F.size(p)).cast("double")
-        return F.when((F.size(p) >= 2) & ((shared >= 2) | (share >= 0.6)), F.greatest(best, share)).otherwise(best)
-
-    return F.aggregate(F.coalesce(phrases, F.array().cast("array<array<string>>")), F.lit(0.0), one)
+    index = phrases.where(F.size("terms") >= 2).select("name", "at", F.size("terms").alias("size"), F.explode("terms").alias("word"))
+    shared = asked.select("qid", F.explode("words").alias("word")).join(index, "word").groupBy("qid", "name", "at", "size").agg(F.count("*").alias("shared"))
+    return shared.where((F.col("shared") >= 2) | (F.col("shared") / F.col("size") >= 0.6)).groupBy("qid", "name").agg(F.max(F.col("shared") / F.col("size")).alias("phrase"))
 
 
 def coverage(queries: DataFrame, skills: DataFrame, k: int = 3) -> DataFrame:
@@ -71,19 +68,18 @@ def coverage(queries: DataFrame, skills: DataFrame, k: int = 3) -> DataFrame:
     asked = asked.where((F.size("terms") > 0) & ~F.col("intent").isin("knowledge", "creative"))
     mass = asked.select("qid", F.explode("terms").alias("term")).join(weights, "term", "left").join(F.broadcast(most)).groupBy("qid").agg(F.sum(F.coalesce("idf", "most", F.lit(1.0))).alias("q_mass"))
     hits = asked.select("qid", F.explode("terms").alias("term")).join(index, "term").join(weights, "term").groupBy("qid", "name").agg(F.count("*").alias("hits"), F.sum(F.col("idf") * F.col("weight")).alias("mass"), F.count_if(F.col("weight") >= ANCHOR).alias("anchored"), F.min("term").alias("only"))
-    phrase_terms = lib.select("name", F.explode(F.array_distinct(F.flatten("phrases"))).alias("word"))
-    by_phrase = asked.select("qid", F.explode("words").alias("word")).join(phrase_terms, "word").select("qid", "name").distinct()
-    met = hits.join(by_phrase, ["qid", "name"], "full")
-    facts = met.join(asked.select("qid", "text", "terms", "words", "intent"), "qid").join(lib, "name").join(mass, "qid")
-    facts = facts.withColumn("phrase", best_phrase(F.col("words"), F.col("phrases")))
-    n, strong = F.coalesce("hits", F.lit(0)), F.col("phrase") >= QUERY_THRESHOLD
+    phrases = best_phrases(asked, lib.select("name", F.posexplode("phrases").alias("at", "terms")))
+    barred = asked.select("qid", F.explode("terms").alias("term")).join(lib.select("name", F.explode("bars").alias("term")), "term").select("qid", "name").distinct()
     problem = F.col("text").rlike(ERROR_ID) | F.col("text").rlike(PROBLEM)
+    asker = asked.select("qid", F.size("terms").alias("n_terms"), problem.alias("problem"), "intent").join(mass, "qid")
+    met = hits.join(phrases, ["qid", "name"], "full").join(barred, ["qid", "name"], "left_anti")
+    facts = met.join(asker, "qid").join(lib.select("name", "anchors", "authoring"), "name").withColumn("phrase", F.coalesce("phrase", F.lit(0.0)))
+    n, strong = F.coalesce("hits", F.lit(0)), F.col("phrase") >= QUERY_THRESHOLD
     specific = F.col("only").rlike(r"[_.\d]")
-    single = (n == 1) & ~strong & (F.size("terms") >= 3) & ~(specific | ((F.coalesce("anchored", F.lit(0)) > 0) & problem))
+    single = (n == 1) & ~strong & (F.col("n_terms") >= 3) & ~(specific | ((F.coalesce("anchored", F.lit(0)) > 0) & F.col("problem")))
     unanchored = ~strong & (F.col("anchors") > 0) & (F.coalesce("anchored", F.lit(0)) == 0)
-    barred = F.arrays_overlap("bars", "terms")
-    authoring = (F.col("intent") != "create") | F.col("authoring")
-    kept = facts.where(((n > 0) | strong) & ~single & ~unanchored & ~barred & authoring)
+    authoring = (F.col("intent") != "create") | F.coalesce("authoring", F.lit(False))
+    kept = facts.where(((n > 0) | strong) & ~single & ~unanchored & authoring)
     breadth = F.pow(F.greatest(F.lit(1.0), F.col("anchors") / 4.0), F.lit(0.25))
     facet = F.when(n > 0, F.col("mass") / (F.col("q_mass") * 3.0 * breadth)).otherwise(0.0)
     scored = kept.select("qid", "name", F.greatest(facet, F.col("phrase")).alias("score"), (n + F.when(strong, 2).otherwise(0)).alias("weight"))
@@ -184,16 +180,12 @@ def chunk_score(tokens: Column, title: Column, category: Column, keywords: Colum
 def related_lessons(queries: DataFrame, lessons: DataFrame, k: int = 4, shared: int = 3) -> DataFrame:
     """(qid, rank, id, shared): generalizable lessons that share at least ``shared`` distinctive words with a query lesson.
 
-    Both are (id, words, ts, generalizable). A pair is met under the query's rarest words only: among all words but its
-    ``shared`` - 1 most frequent there must be a common one, which spares the most frequent words and loses nothing.
-    Newest first; ties go to the lesser id.
+    Both are (id, words, ts, generalizable), words distinct. Shared words are counted through an index of words, added
+    up before the shuffle. Newest first; ties go to the lesser id.
     """
-    freq = lessons.where("generalizable").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    asked = queries.select(F.col("id").alias("qid"), F.col("words").alias("mine"), F.explode("words").alias("word")).join(freq, "word")
-    w = Window.partitionBy("qid").orderBy(F.desc("df"), "word")
-    lead = asked.withColumn("r", F.row_number().over(w)).where(F.col("r") > shared - 1).select("qid", "mine", "word")
-    index = lessons.where("generalizable").select("id", "ts", "words", F.explode("words").alias("word"))
-    met = lead.join(index, "word").where("qid <> id").withColumn("shared", F.size(F.array_intersect("mine", "words"))).where(F.col("shared") >= shared)
-    pairs = met.groupBy("qid", "id").agg(F.max("shared").alias("shared"), F.max("ts").alias("ts"))
+    index = lessons.where("generalizable").select("id", F.explode("words").alias("word"))
+    asked = queries.select(F.col("id").alias("qid"), F.explode("words").alias("word"))
+    met = asked.join(index, "word").where("qid <> id").groupBy("qid", "id").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    pairs = met.join(lessons.select("id", "ts"), "id").withColumn("shared", F.col("shared").cast("int"))
     top = Window.partitionBy("qid").orderBy(F.desc_nulls_last("ts"), "id")
     return pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("qid", "rank", "id", "shared")
