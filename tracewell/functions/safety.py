@@ -47,7 +47,8 @@ def redact(text: Column) -> tuple[Column, Column]:
 
 def injection_findings(text: Column) -> Column:
     """Findings (kind, match), kinds in order, at most 20 (the report's size)."""
-    each = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("match"))) for k, p in INJECTIONS]
+    of = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m.alias("match"))
+    each = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)), of(k)) for k, p in INJECTIONS]
     return F.slice(F.concat(*each), 1, 20)
 
 
