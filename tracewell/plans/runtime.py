@@ -46,3 +46,12 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Tasks that can run at once, as far as the session knows; at least 4."""
     return max(4, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if its scan has fewer parts than tasks can run, so that work in Python uses all cores.
+
+    That is so only for inputs of a few files below the size of a split; others are read where they lie, unshuffled.
+    """
+    tasks = width(df.sparkSession)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
