@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracewell.plans.runtime import spread
+
 #: Where the public tokenizers lie, and the pattern that splits a text into pieces for byte_bpe_50k.
 TOKENIZERS = "/opt/tokenizers"
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -108,5 +110,5 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [key, "ids"])
 
-    src = df.select(key, text)
+    src = spread(df.select(key, text))
     return src.mapInArrow(run, f"`{key}` {src.dtypes[0][1]}, ids array<int>")

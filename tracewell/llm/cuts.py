@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.words import word_hashes
 from tracewell.llm.neardup import FREQ_BITS, group_frequencies
-from tracewell.plans.runtime import stage
+from tracewell.plans.runtime import spread, stage
 
 #: Lengths on either side whose hazards are pooled; false-discovery rate; least hazard of a limit.
 NEIGHBOURS, FALSE_RATE, LEAST_HAZARD = 40, 0.01, 0.5
@@ -210,7 +210,7 @@ def cut_texts(traces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     agent have no significant lengths; a trace delivered twice counts once; empty tables give empty results. Whole texts
     are used for all counts.
     """
-    texts = stage(tool_texts(traces), "tool-texts")
+    texts = stage(tool_texts(spread(traces.select("id", "agent", "steps"))), "tool-texts")
     frequencies = group_frequencies(texts.select(word_hashes(F.col("text")).alias("h")))
     frequent = frequencies >= max(5.0, frequencies.sum() * NAME_SHARE)
     limits = stage(significant_lengths(texts), "limits")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.plans.runtime import spread
+
 K1, B = 1.2, 0.75
 BLOCK = 32
 #: Items of one index; more items are held in several indexes, one after the other.
@@ -129,7 +131,7 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 13) -> DataFrame:
     few results, for each index of ``ITEMS`` items.
     """
     spark = documents.sparkSession
-    src = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    src = spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
     clean = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     blocks = max(1, -(-clean.count() // ITEMS))
     out = None

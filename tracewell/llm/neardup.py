@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.words import word_hashes, words
-from tracewell.plans.runtime import bounded_broadcast, stage
+from tracewell.plans.runtime import bounded_broadcast, spread, stage
 
 GROUPS = 63
 FREQ_BITS = 18
@@ -259,7 +259,7 @@ def near_duplicates(texts: DataFrame, least: float) -> tuple[DataFrame, DataFram
     Rows with a null key or without a word are no cases; rows stored twice count once; a key with several texts stands
     in the class of each; ties don't arise; an empty table gives empty results.
     """
-    src = texts.select("field", "key", "text").where(F.col("key").isNotNull() & F.col("text").isNotNull())
+    src = spread(texts.select("field", "key", "text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
     hashed = src.select("field", "key", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
     frequencies = group_frequencies(hashed.select("h"))
     sig = stage(points(hashed, frequencies, least), "points")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.plans.runtime import spread
+
 #: What any text with a credential holds; a cheap test before the reading.
 HINT = (
     r"(?i)passw|passphrase|passwd|passcode|pass\b|pwd|secret|token|key|cred|bearer|basic |kennwort|contrase|clave|schl(ü|ue|u)ssel|geheim|secreto|_pw\b|\bpw\b|://[^/\s\"]*@|PRIVATE|auth|sig=|\bpin\b"
@@ -205,7 +207,7 @@ def redact(text: str | None) -> str | None:
 
 def step_texts(traces: DataFrame) -> DataFrame:
     """(trace_id, step_pos, call_pos, field, text) of contents, args and results that may hold a credential."""
-    steps = traces.where(F.col("id").isNotNull()).select(F.col("id").alias("trace_id"), F.posexplode(F.transform("steps", lambda s: F.struct(s["content"].alias("content"), F.transform(s["tool_calls"], lambda c: F.struct(c["args"].alias("args"), c["result"].alias("result"))).alias("calls")))).alias("step_pos", "s"))
+    steps = spread(traces.select("id", "steps")).where(F.col("id").isNotNull()).select(F.col("id").alias("trace_id"), F.posexplode(F.transform("steps", lambda s: F.struct(s["content"].alias("content"), F.transform(s["tool_calls"], lambda c: F.struct(c["args"].alias("args"), c["result"].alias("result"))).alias("calls")))).alias("step_pos", "s"))
     part = lambda at, field, text: F.struct(at.alias("call_pos"), F.lit(field).alias("field"), text.alias("text"))
     content = F.array(part(F.lit(-1), "content", F.col("s.content")))
     calls = F.flatten(F.transform("s.calls", lambda c, i: F.array(part(i, "args", c["args"]), part(i, "result", c["result"]))))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.words import words
 from tracewell.llm.neardup import FREQ_BITS, _ragged, bag_overlap, group_frequencies
-from tracewell.plans.runtime import bounded_broadcast, stage
+from tracewell.plans.runtime import bounded_broadcast, spread, stage
 
 WINDOW = 4
 #: Share of word ends that end a chunk, as (numerator, denominator).
@@ -122,7 +122,7 @@ def cross_split(records: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
     Rows with a null key, side or text or without a word are no cases; a record stored twice counts once; equal records
     of the two sides are linked as well; an empty table gives empty results.
     """
-    src = records.where(F.col("key").isNotNull() & F.col("train").isNotNull() & F.col("text").isNotNull()).select("key", "train", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    src = spread(records.select("key", "train", "text")).where(F.col("key").isNotNull() & F.col("train").isNotNull() & F.col("text").isNotNull()).select("key", "train", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     sig = stage(src.mapInArrow(_signatures, "key string, train boolean, n int, c1 long, c2 long, m1 long, m2 long, d array<long>, l array<int>"), "chunks")
     frequencies = group_frequencies(sig.select(F.col("d").alias("h")))
     classes = sig.groupBy("train", "c1", "c2").agg(F.min(F.struct("d", "l", "n", "m1", "m2")).alias("x")).select("train", "c1", "c2", "x.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.plans.runtime import stage
+from tracewell.plans.runtime import spread, stage
 
 #: Words found by inspecting the top terms of topics, by subject; in English, German and Spanish.
 TERMS = {
@@ -195,8 +195,8 @@ def document_subjects(documents: DataFrame, subjects: DataFrame) -> DataFrame:
     empty result. Vocabulary and topics are bounded, and only tables of that size (words by topics) reach the driver.
     """
     spark = documents.sparkSession
-    names = sorted(r[0] for r in subjects.select("subject").distinct().limit(1000).collect() if r[0])
-    src = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    names = sorted(r[0] for r in subjects.select("subject").distinct().collect() if r[0])
+    src = spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
