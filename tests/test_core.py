@@ -263,3 +263,54 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_sanitize(spark):
+    from tracewell.operators import sanitize as Z
+
+    call = lambda n: ("bash", '{"cmd": "login token=abcdefgh1234"}', "r" * n, None, 1)
+    rows = [{"id": "a", "steps": [("user", "c" * 9000, [call(5000)])] * 500}, {"id": "b", "steps": None}, {"id": "c", "steps": [("x", None, None), None]}, {"id": "big", "steps": [("u", "x" * 3999, [call(2999)] * 30)] * 3}, {"id": "huge", "steps": [("u", "y" * 100, [call(100)] * 40)] * 400}]
+    got = {r.id: r for r in Z.sanitize(make_traces(spark, rows), 100_000).collect()}
+    size = lambda r: Z._texts([s.asDict(True) if s else s for s in r.steps])
+    assert len(got) == 5 and got["b"].steps is None and got["c"].steps[1] is None
+    assert all(size(r) <= 100_000 for r in got.values() if r.steps) and len(got["a"].steps) == 400
+    assert "abcdefgh1234" not in str(got) and "REDACTED:kv_secret" in got["big"].steps[0].tool_calls[0].args
+    assert len(got["huge"].steps) == 1
+    n = [0]
+    assert Z.redact_json({"a": ["sk-abcdefghijklmnop1234", 1, None]}, n) == {"a": ["[REDACTED:openai_key]", 1, None]} and n == [1]
+
+
+def test_decisions(spark):
+    from tracewell.operators import decisions as D
+
+    at = lambda c: spark.range(1).select(c).first()[0]
+    t, f, no = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    assert at(D.can_activate(t, f, no)) and not at(D.can_activate(t, t, no)) and not at(D.can_activate(no, f, t))
+    v = F.array(F.lit("pass"), F.lit("fail"))
+    assert not at(D.judge_passes(F.lit("pass"), v, [t])) and at(D.judge_passes(F.lit("pass"), F.lit(None), [no])) and not at(D.judge_passes(F.lit("pass"), F.lit(None), [f]))
+    assert at(D.security_clears(F.lit(0), f, F.lit(None), F.lit(None))) and not at(D.security_clears(F.lit(1), t, F.lit(None), F.lit(None))) and not at(D.security_clears(F.lit(0), t, F.lit("clear"), F.array(F.lit("high"))))
+    assert [at(D.after_eval(p, a, F.lit(3), F.lit(r))) for p, a, r in ((t, t, 1.0), (t, f, 1.0), (f, t, 0.4), (f, t, 0.9))] == ["active", "candidate", "quarantine", "candidate"]
+    assert at(D.merge_facets(F.array(F.lit("b")), F.array(F.lit("a pod"), F.lit(" ")), F.array(F.lit("pod")))) == ["b"] and at(D.effective_thresholds(F.lit(3))) == (0.3, 0.5)
+    assert at(D.gate_reason(F.array(F.lit("x")), t, t)) == "shape" and at(D.gate_reason(F.array(), t, f)) == "judge"
+
+
+def test_files(spark, tmp_path):
+    from tracewell.sources import files
+
+    p = tmp_path / "e.jsonl"
+    p.write_text('{"task_id": "a", "condition": "c", "attempts": [{"code": "x", "verdict": {"ok": false}}]}\n\nbroken\n{"task_id": "a", "condition": "c", "attempts": []}\n')
+    r = files.episodes(spark, str(p)).collect()
+    assert len(r) == 1 and r[0].attempts == [] and r[0].context_chars == 0
+    q = tmp_path / "t.jsonl"
+    q.write_text('{"message": {"role": "assistant", "content": "hi"}}\nno\n{"message": {"role": "user", "content": " "}}\n{"message": {"role": "user", "content": "fix it"}}\n{"x": 1}\n')
+    assert files.first_task(files.transcripts(spark, str(q))).first().task == "fix it"
+    table = str(tmp_path / "table")
+    files.append(spark.createDataFrame([("s", 1, "x")], "name string, version int, status string"), table)
+    files.append(spark.createDataFrame([("s", 2, "y", 7)], "name string, version int, status string, extra int"), table)
+    assert tuple(files.latest(spark, table, ["name"]).first()) == ("s", 2, "y", 7)
+    back = files.rollback(spark.read.option("mergeSchema", True).parquet(table), "s", 1).first()
+    assert (back.version, back.status) == (3, "active")
+    t = spark.createDataFrame([(0, "a", "x"), (1, "b", "y")], "at long, name string, description string")
+    assert [r.name for r in files.distractors(spark, t, 3).orderBy("name").collect()] == ["a-0", "a-2", "b-1"]
+    files.export_markdown(spark.createDataFrame([("n", "d: e", None, "active")], "name string, description string, body string, status string"), str(tmp_path / "md"))
+    assert 'description: \\"d: e\\"' in spark.read.text(str(tmp_path / "md")).first().value
