@@ -17,7 +17,10 @@ def brute(x, k, least):
     return {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:k] if s[i, j] >= least}
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("part,answers", [(15_000, 60_000), (150, 100)])
+def test_recall(spark, monkeypatch, part, answers):
+    monkeypatch.setattr(V, "SHARD_MOST", part)
+    monkeypatch.setattr(V, "ANSWERS", answers)
     x = clustered(1500, 24, 3)
     df = spark.createDataFrame([(f"k{i:05}", [float(a) for a in v], 1) for i, v in enumerate(x)], "name string, v array<float>, cls int")
     got = {(int(r.a[1:]), int(r.b[1:])) for r in V.similar_pairs(df, "name", "v", 24, 8, 0.8).collect()}

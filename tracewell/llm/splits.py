@@ -7,8 +7,8 @@ the splits, rarest first: a record is entered under its leading chunks only, so
 words allow the overlap asked for, which loses nothing. Of what is left the lengths of shared chunks are summed into a
 fraction for each of the two records, and the overlap is checked on the words.
 
-A digest that many records hold is split into cells: training records are dealt out to the cells, the others are
-entered in each.
+A digest that many records hold is split into a square of cells: a training record is entered along its row, another
+along its column, so that each pair meets in one cell and no cell is large.
 """
 
 from __future__ import annotations
@@ -101,11 +101,10 @@ def _leading(classes: DataFrame, frequencies: np.ndarray) -> DataFrame:
             train = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
             c1 = b.column(2).to_numpy()
             cells = np.maximum(1, -(-f // CELL))
-            times = np.where(train[row], 1, cells)
-            of = np.repeat(np.arange(len(d)), times)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            of = np.repeat(np.arange(len(d)), cells)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(cells) - cells, cells)
             own = (c1[row].view(np.uint64) % cells.astype(np.uint64)).astype(np.int64)
-            cell = np.where(train[row[of]], own[of], nth)
+            cell = np.where(train[row[of]], own[of] * cells[of] + nth, nth * cells[of] + own[of])
             take = pa.array(row[of])
             yield pa.RecordBatch.from_arrays([pa.array(d[of].view(np.int64)), pa.array(cell.astype(np.int32)), *(b.column(i).take(take) for i in range(6))], ["tok", "cell", "train", "n", "c1", "c2", "m1", "m2"])
 

@@ -24,6 +24,8 @@ SAMPLE = 20_000
 ROUTES = 3
 #: Vectors of a shard that are aimed at, and from which on a shard is cut into parts.
 SHARD, SHARD_MOST = 6_000, 15_000
+#: Vectors that one task answers; beyond, the vectors of a shard are dealt out to several tasks with the same graph.
+ANSWERS = 60_000
 DEGREE, SLACK, RELAX = 24, 12, 1.2
 BUILD_BEAM, SEARCH_BEAM, STEP = 40, 32, 3
 
@@ -214,8 +216,13 @@ def similar_pairs(df: DataFrame, key: str, vector: str, dim: int, k: int, least:
 
     routed = classes.select("cls", "part", "v").mapInPandas(route, "shard int, cls long, part long, v array<float>")
     sizes = {r[0]: r[1] for r in classes.select("cls", "part", "v").mapInPandas(route, "shard int, cls long, part long, v array<float>").groupBy("shard").count().collect()}  # a row per centre
-    parts = F.element_at(F.create_map(*(F.lit(x) for s in range(len(centres)) for x in (s, -(-sizes.get(s, 1) // SHARD_MOST)))), F.col("shard"))
-    cut = routed.withColumn("parts", parts).withColumn("own", F.pmod("part", "parts").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    fixed = lambda most: F.element_at(F.create_map(*(F.lit(x) for s in range(len(centres)) for x in (s, -(-sizes.get(s, 1) // most)))), F.col("shard"))
+    cut = routed.withColumns({"own": F.pmod("part", fixed(SHARD_MOST)).cast("int"), "turn": F.pmod(F.xxhash64("part"), fixed(ANSWERS)).cast("int")})
+    # A vector asks in its own turn of each part; in its own part it stands in the graph of every turn.
+    places = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    asks = places(fixed(SHARD_MOST), lambda i: F.struct(i.alias("at"), F.col("turn").alias("block"), F.lit(True).alias("asks")))
+    stands = F.filter(places(fixed(ANSWERS), lambda i: F.struct(F.col("own").alias("at"), i.alias("block"), F.lit(False).alias("asks"))), lambda x: x["block"] != F.col("turn"))
+    cut = cut.select("shard", "own", "cls", "v", F.inline(F.concat(asks, stands)))
 
     def answer(p: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.stack(p["v"]))
@@ -226,8 +233,9 @@ def similar_pairs(df: DataFrame, key: str, vector: str, dim: int, k: int, least:
             g = Graph(x[inside])
             node = np.full(len(p), -1, np.int64)
             node[inside] = np.arange(len(inside))
-            for a in range(0, len(p), 512):
-                q = np.arange(a, min(a + 512, len(p)))
+            asking = np.flatnonzero(p["asks"].to_numpy())
+            for a in range(0, len(asking), 512):
+                q = asking[a : a + 512]
                 ids, cos = g.search(x[q], node[q], max(SEARCH_BEAM, k + 1))
                 row, col = np.nonzero((ids >= 0) & (cos >= least - 1e-4) & (ids != node[q][:, None]))
                 keep = np.arange(len(row)) - np.searchsorted(row, row) < k
@@ -237,7 +245,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, dim: int, k: int, least:
                 out.append(pd.DataFrame({"a": cls[i], "b": cls[j], "cosine": exact}))
         return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
 
-    near = cut.select("shard", "at", "own", "cls", "v").groupBy("shard", "at").applyInPandas(answer, "a long, b long, cosine double")
+    near = cut.groupBy("shard", "at", "block").applyInPandas(answer, "a long, b long, cosine double")
     near = near.where(F.col("cosine") >= least).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= k).select("a", "b", "cosine")
     best = stage(best, "near-classes")
