@@ -191,6 +191,18 @@ def test_coverage(spark):
     assert retrieval.coverage(asked.where("false"), lib).count() == 0 and retrieval.coverage(asked, lib.where("false")).count() == 0
 
 
+def test_error_recall(spark):
+    lib = skills(spark, [
+        {"name": "port-taken", "description": "free a port", "symptoms": ["address already in use"], "not_for": ["docker"]},
+        {"name": "disk-full", "description": "clean a disk", "symptoms": ["no space left on device", "write failed quota exceeded"], "not_for": ["quota exceeded for user"]}, {"name": "none"},
+    ])
+    asked = spark.createDataFrame([(1, "OSError: address already in use"), (6, "OSError: address already in use by docker"), (2, "write error: quota exceeded for user 7"), (3, "cp: no space left on device"), (4, "all is well"), (5, None)], "qid int, text string")
+    got = {(r.qid, r.name): r.score for r in retrieval.coverage(asked, lib, error=True).collect()}
+    assert got == {(1, "port-taken"): 1.0, (2, "disk-full"): 0.75, (3, "disk-full"): 1.0}  # 6 names what it isn't for
+    shown = spark.createDataFrame([(3, "disk-full")], "qid int, name string")
+    assert {r.qid for r in retrieval.coverage(asked, lib, error=True, shown=shown).collect()} == {1, 2}
+
+
 def test_cosine(spark):
     assert one(spark, retrieval.cosine(F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(3.0), F.lit(4.0))), t="") == 1.0
     assert one(spark, retrieval.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))), t="") == 0.0

@@ -48,9 +48,25 @@ def best_phrases(asked: DataFrame, phrases: DataFrame) -> DataFrame:
     return shared.where((F.col("shared") >= 2) | (F.col("shared") / F.col("size") >= 0.6)).groupBy("qid", "name").agg(F.max(F.col("shared") / F.col("size")).alias("phrase"))
 
 
-def coverage(queries: DataFrame, skills: DataFrame, k: int = 3) -> DataFrame:
+def best_symptoms(asked: DataFrame, symptoms: DataFrame) -> DataFrame:
+    """(qid, name, symptom): 1 where a symptom of at least 6 characters stands in the text, else the best share of a
+    symptom's terms with at least two shared. ``asked``: qid, text, words; ``symptoms``: name, at, said, terms.
+
+    A symptom that stands in a text shares its words with it, so both are met through an index of words.
+    """
+    index = symptoms.select("name", "at", "said", F.size("terms").alias("size"), F.explode("terms").alias("word"))
+    shared = asked.select("qid", F.explode("words").alias("word")).join(index, "word").groupBy("qid", "name", "at", "said", "size").agg(F.count("*").alias("shared"))
+    d = shared.where((F.col("shared") >= 2) | (F.col("shared") == F.col("size"))).join(asked.select("qid", F.lower("text").alias("low")), "qid")
+    told = F.when((F.length("said") >= 6) & F.contains("low", "said"), 1.0).when((F.col("shared") >= 2) & (F.col("size") >= 2), F.col("shared") / F.col("size"))
+    return d.select("qid", "name", told.alias("s")).where("s is not null").groupBy("qid", "name").agg(F.max("s").alias("symptom"))
+
+
+def coverage(queries: DataFrame, skills: DataFrame, k: int = 3, error: bool = False, shown: DataFrame | None = None) -> DataFrame:
     """(qid, rank, name, score): skills that cover a query's terms, with abstention.
 
+    With ``error`` the queries are error texts: intents don't matter, recorded symptoms count as anchors and as phrases,
+    and a skill whose symptom is told isn't ruled out by a single word. ``shown`` (qid, name) is left out of the result.
+
     ``queries``: qid, text. Queries for knowledge or creative work get nothing. A skill is met through the index of
     terms or of phrase terms, so no pair without a common word is looked at; then single-hit, anchor and not_for gates,
     score, threshold and margin to the first. Ties go to the lesser name.
@@ -58,31 +74,50 @@ def coverage(queries: DataFrame, skills: DataFrame, k: int = 3) -> DataFrame:
     empty = F.array().cast("array<string>")
     kept = latest_skills(skills).where(F.col("status").isin(*RETRIEVABLE))
     index = stage(profiles(kept), "profiles")
-    anchors = index.where(F.col("weight") >= ANCHOR).groupBy("name").agg(F.count("*").alias("anchors"), F.collect_set("term").alias("anchor_terms"))  # a skill's own terms: bounded by its text
+    symptoms = kept.select("name", F.posexplode("symptoms").alias("at", "s")).select("name", "at", F.lower(F.trim("s")).alias("said"), query_terms(F.lower(F.trim("s"))).alias("terms"))
+    if error:
+        of_symptoms = kept.select("name", F.explode(facet_terms(F.array_join(F.coalesce("symptoms", empty), " "))).alias("term")).withColumn("told", F.lit(True))
+        index = index.join(of_symptoms, ["name", "term"], "left").select("name", "term", "weight", (F.coalesce("told", F.lit(False)) | (F.col("weight") >= ANCHOR)).alias("anchor"))
+    else:
+        index = index.withColumn("anchor", F.col("weight") >= ANCHOR)
+    anchors = index.where("anchor").groupBy("name").agg(F.count("*").alias("anchors"), F.collect_set("term").alias("anchor_terms"))  # a skill's own terms: bounded by its text
     purpose = F.concat_ws(" ", F.regexp_replace("name", "-", " "), F.array_join("applies_when", " "))
-    lib = kept.join(anchors, "name", "left").select("name", F.transform("queries", query_terms).alias("phrases"), F.array_except(facet_terms(F.array_join(F.coalesce("not_for", empty), " ")), F.coalesce("anchor_terms", empty)).alias("bars"), F.coalesce("anchors", F.lit(0)).alias("anchors"), purpose.rlike(AUTHORING).alias("authoring"))
+    lib = kept.join(anchors, "name", "left").select("name", F.transform("queries", query_terms).alias("phrases"), F.array_except(facet_terms(F.array_join(F.coalesce("not_for", empty), " ")), F.coalesce("anchor_terms", empty)).alias("bars"), F.coalesce("anchors", F.lit(0)).alias("anchors"), F.coalesce("anchor_terms", empty).alias("anchor_terms"), purpose.rlike(AUTHORING).alias("authoring"))
     lib = stage(lib, "library")
     weights = idf(index, lib)
     most = weights.agg(F.max("idf").alias("most"))
     asked = queries.where(F.col("qid").isNotNull()).select("qid", "text", facet_terms(F.col("text")).alias("terms"), query_terms(F.col("text")).alias("words"), intent(F.col("text")).alias("intent"))
-    asked = asked.where((F.size("terms") > 0) & ~F.col("intent").isin("knowledge", "creative"))
+    asked = asked.where((F.size("terms") > 0) & (F.lit(error) | ~F.col("intent").isin("knowledge", "creative")))
     mass = asked.select("qid", F.explode("terms").alias("term")).join(weights, "term", "left").join(F.broadcast(most)).groupBy("qid").agg(F.sum(F.coalesce("idf", "most", F.lit(1.0))).alias("q_mass"))
-    hits = asked.select("qid", F.explode("terms").alias("term")).join(index, "term").join(weights, "term").groupBy("qid", "name").agg(F.count("*").alias("hits"), F.sum(F.col("idf") * F.col("weight")).alias("mass"), F.count_if(F.col("weight") >= ANCHOR).alias("anchored"), F.min("term").alias("only"))
+    hits = asked.select("qid", F.explode("terms").alias("term")).join(index, "term").join(weights, "term").groupBy("qid", "name").agg(F.count("*").alias("hits"), F.sum(F.col("idf") * F.col("weight")).alias("mass"), F.count_if("anchor").alias("anchored"), F.min("term").alias("only"))
     phrases = best_phrases(asked, lib.select("name", F.posexplode("phrases").alias("at", "terms")))
     barred = asked.select("qid", F.explode("terms").alias("term")).join(lib.select("name", F.explode("bars").alias("term")), "term").select("qid", "name").distinct()
-    problem = F.col("text").rlike(ERROR_ID) | F.col("text").rlike(PROBLEM)
+    if error:
+        told = stage(best_symptoms(asked, symptoms), "told")
+        # A told symptom outweighs a word: then most of a phrase must be there, or for a symptom word for word, the phrase.
+        near = told.where("symptom >= 0.6").join(kept.select("name", F.explode("not_for").alias("p")), "name").join(asked.select("qid", "terms", F.lower("text").alias("low")), "qid").join(lib.select("name", "anchor_terms"), "name")
+        p = F.array_except(facet_terms(F.col("p")), "anchor_terms")
+        both = F.size(F.array_intersect(p, F.col("terms")))
+        strict = near.where(F.when(F.col("symptom") >= 1, (F.col("p") != "") & F.contains("low", F.lower("p"))).otherwise((both >= 2) & (both / F.greatest(F.size(p), F.lit(1)) >= 0.6)))
+        barred = barred.join(told.where("symptom >= 0.6"), ["qid", "name"], "left_anti").unionByName(strict.select("qid", "name")).distinct()
+        phrases = phrases.join(told, ["qid", "name"], "full").select("qid", "name", F.greatest(F.coalesce("phrase", F.lit(0.0)), F.coalesce("symptom", F.lit(0.0))).alias("phrase"), F.coalesce("symptom", F.lit(0.0)).alias("symptom"))
+    else:
+        phrases = phrases.withColumn("symptom", F.lit(0.0))
+    problem = F.lit(error) | F.col("text").rlike(ERROR_ID) | F.col("text").rlike(PROBLEM)
     asker = asked.select("qid", F.size("terms").alias("n_terms"), problem.alias("problem"), "intent").join(mass, "qid")
     met = hits.join(phrases, ["qid", "name"], "full").join(barred, ["qid", "name"], "left_anti")
     facts = met.join(asker, "qid").join(lib.select("name", "anchors", "authoring"), "name").withColumn("phrase", F.coalesce("phrase", F.lit(0.0)))
     n, strong = F.coalesce("hits", F.lit(0)), F.col("phrase") >= QUERY_THRESHOLD
-    specific = F.col("only").rlike(r"[_.\d]")
+    specific = F.lit(error) | F.col("only").rlike(r"[_.\d]")
     single = (n == 1) & ~strong & (F.col("n_terms") >= 3) & ~(specific | ((F.coalesce("anchored", F.lit(0)) > 0) & F.col("problem")))
     unanchored = ~strong & (F.col("anchors") > 0) & (F.coalesce("anchored", F.lit(0)) == 0)
-    authoring = (F.col("intent") != "create") | F.coalesce("authoring", F.lit(False))
+    authoring = F.lit(error) | (F.col("intent") != "create") | F.coalesce("authoring", F.lit(False))
     kept = facts.where(((n > 0) | strong) & ~single & ~unanchored & authoring)
     breadth = F.pow(F.greatest(F.lit(1.0), F.col("anchors") / 4.0), F.lit(0.25))
     facet = F.when(n > 0, F.col("mass") / (F.col("q_mass") * 3.0 * breadth)).otherwise(0.0)
-    scored = kept.select("qid", "name", F.greatest(facet, F.col("phrase")).alias("score"), (n + F.when(strong, 2).otherwise(0)).alias("weight"))
+    scored = kept.select("qid", "name", F.greatest(facet, F.col("phrase")).alias("score"), (n + F.when(strong, 2).otherwise(0) + F.when(F.coalesce("symptom", F.lit(0.0)) >= 0.6, 4).otherwise(0)).alias("weight"))
+    if shown is not None:
+        scored = scored.join(shown, ["qid", "name"], "left_anti")
     scored = scored.where(F.col("score") >= RECALL_THRESHOLD)
     w = Window.partitionBy("qid").orderBy(F.desc("weight"), F.desc(F.round("score", 9)), "name")
     ranked = scored.withColumn("first", F.first("score").over(w)).where(F.col("score") >= F.col("first") * RECALL_MARGIN)

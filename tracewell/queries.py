@@ -352,6 +352,14 @@ def coverage_topk(spark, sf_dir):
     return retrieval.coverage(_asked(spark, sf_dir), table(spark, sf_dir, "skills")).withColumn("score", F.round("score", 6))
 
 
+@query()
+def error_recall(spark, sf_dir):
+    """Skills for the error signatures of traces whose id (its last 8 hex digits) is divisible by 20 (see tests)."""
+    e = traces.calls_of(_traces(spark, sf_dir)).where("error <> ''").where(F.conv(F.right("id", F.lit(8)), 16, 10).cast("bigint") % 20 == 0)
+    asked = e.select(text.error_signature(F.col("error")).alias("text")).distinct().select(F.xxhash64("text").alias("qid"), "text")
+    return retrieval.coverage(asked, table(spark, sf_dir, "skills"), error=True)
+
+
 _BW = " UNION ALL ".join(f"SELECT name, {w} AS w, unnest(regexp_extract_all(lower(coalesce({_J('queries') if c == 'queries' else c}, '')), '[a-z0-9_]{{3,}}')) AS term FROM ls" for c, w in retrieval.BM25_WEIGHTS.items())
 
 
