@@ -24,10 +24,10 @@ from tracewell.plans.runtime import spread, stage
 #: Words found by inspecting the top terms of topics, by subject; in English, German and Spanish.
 TERMS = {
     "version_control": ("merge commit branch stash rebase tag", "zweig anwenden zusammenführen konflikt historie", "rama fusionar fusión etiqueta historial"),
-    "packaging": ("package wheel lockfile distribution yanked editable", "abhängigkeit paket umgebung version", "paquete dependencia entorno versión"),
+    "packaging": ("package wheel lockfile distribution yanked editable", "abhängigkeit paket umgebung sperrdatei version", "paquete dependencia entorno versión"),
     "databases": ("migration index table replica query transaction", "transaktion tabelle abfrage fremdschlüssel", "tabla transacción índice consulta foránea"),
     "networking": ("proxy packet port route gateway handshake", "namensauflösung lastverteiler verbindung route", "puerto balanceador conexión ruta resolución"),
-    "containers": ("pod image node volume container deployment", "volume knoten image replica", "volumen nodo contenedor imagen réplica"),
+    "containers": ("pod image node volume container deployment", "volume knoten image replica container pod leeren", "volumen nodo contenedor imagen réplica"),
     "testing": ("test suite fixture flaky teardown snapshot", "testlauf testabdeckung testfall erwartungswert", "prueba cobertura aserción pruebas simular"),
     "file_formats": ("header field parse encoding schema comma", "spalten kodierung trennzeichen kopfzeile feld", "cabecera columnas campo codificación fichero"),
     "security": ("certificate credential permission session signature account", "zertifikat rechte zugriffsregel berechtigung", "firma certificado permisos regla acceso"),
