@@ -224,3 +224,21 @@ def related_lessons(queries: DataFrame, lessons: DataFrame, k: int = 4, shared:
     pairs = met.join(lessons.select("id", "ts"), "id").withColumn("shared", F.col("shared").cast("int"))
     top = Window.partitionBy("qid").orderBy(F.desc_nulls_last("ts"), "id")
     return pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("qid", "rank", "id", "shared")
+
+
+def chunk_topk(queries: DataFrame, chunks: DataFrame, k: int = 6, fallback: int = 3) -> DataFrame:
+    """(qid, rank, chunk, score): the ``k`` best chunks of each query; a query without any gets the first ``fallback``.
+
+    ``queries``: qid, text; ``chunks``: chunk, title, category, keywords. Chunks are met through an index of the words of
+    title, category and keywords. Ties go to the lesser chunk; the first chunks are those with the least names.
+    """
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != ""))
+    asked = queries.where(F.col("qid").isNotNull()).select("qid", "text", split(F.col("text")).alias("tokens"))
+    own = chunks.where(F.col("chunk").isNotNull()).select("chunk", "title", "category", "keywords")
+    index = own.select("chunk", F.explode(split(F.concat_ws(" ", "title", "category", F.array_join("keywords", " ")))).alias("word"))
+    met = asked.select("qid", F.explode("tokens").alias("word")).join(index, "word").select("qid", "chunk").distinct()
+    scored = met.join(asked, "qid").join(own, "chunk").select("qid", "chunk", chunk_score(F.col("tokens"), F.col("title"), F.col("category"), F.col("keywords"), F.col("text")).alias("score")).where("score > 0")
+    top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= k)
+    first = own.select("chunk").distinct().orderBy("chunk").limit(fallback).withColumn("rank", F.row_number().over(Window.orderBy("chunk")))  # ``fallback`` rows
+    rest = asked.select("qid").join(top.select("qid").distinct(), "qid", "left_anti").withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(fallback))))
+    return top.select("qid", "rank", "chunk", "score").unionByName(rest.join(F.broadcast(first), "rank").select("qid", "rank", "chunk", F.lit(0).alias("score")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import safety, text
-from tracewell.operators import lifecycle, playbook, retrieval, stats, traces
+from tracewell.operators import lifecycle, playbook, retrieval, sanitize, stats, traces
 from tracewell.sources.tables import table
 from tracewell.streaming import ingest
 
@@ -402,9 +402,46 @@ def related_lessons(spark, sf_dir):
     return retrieval.related_lessons(d.where(F.conv(F.right("id", F.lit(8)), 16, 10).cast("bigint") % 20 == 0), d)
 
 
+_SP = lambda x: f"list_distinct(list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH c AS (SELECT subject AS chunk, replace(subject, '_', ' ') AS title, split_part(about, ',', 1) AS category, list_transform(string_split(about, ','), lambda x: trim(x)) AS keywords FROM subjects),
+q AS (SELECT item_id AS qid, text, {_SP('text')} AS tokens FROM eval_items),
+s AS (SELECT qid, chunk, 3 * len(list_intersect({_SP('title')}, tokens)) + 2 * len(list_intersect({_SP('category')}, tokens)) + list_sum(list_transform(keywords, lambda k: CASE WHEN k <> '' AND contains(lower(text), lower(k)) THEN 2 WHEN len({_SP('k')}) > 1 AND len(list_intersect({_SP('k')}, tokens)) >= greatest(1, len({_SP('k')}) - 1) THEN 1 ELSE 0 END)) AS score FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk) AS rank FROM s WHERE score > 0),
+f AS (SELECT chunk, row_number() OVER (ORDER BY chunk) AS rank FROM c)
+SELECT qid, rank::INTEGER AS rank, chunk, score::INTEGER AS score FROM r WHERE rank <= 6 UNION ALL SELECT qid, f.rank::INTEGER, f.chunk, 0 FROM q, f WHERE f.rank <= 3 AND qid NOT IN (SELECT qid FROM r)""")
+def chunk_topk(spark, sf_dir):
+    """The best subject descriptions for each evaluation text by keyword scores, or the first three."""
+    about = table(spark, sf_dir, "subjects")
+    chunks = about.select(F.col("subject").alias("chunk"), F.regexp_replace("subject", "_", " ").alias("title"), F.split_part("about", F.lit(","), F.lit(1)).alias("category"), F.transform(F.split("about", ","), lambda x: F.trim(x)).alias("keywords"))
+    return retrieval.chunk_topk(_asked(spark, sf_dir), chunks)
+
+
 # ---- lifecycle
 
 
+@query(f"WITH {SKILLS} SELECT name, status, CASE WHEN coalesce(uses, 0) > 0 THEN round(successes / uses, 9) ELSE 0.0 END::DOUBLE AS hit_rate, CASE WHEN coalesce(recalls, 0) > 0 THEN round(coalesce(uses, 0) / recalls, 9) ELSE 0.0 END::DOUBLE AS trigger_precision FROM ls")
+def skill_rates(spark, sf_dir):
+    """Hit rate and trigger precision of each skill; 0 where undefined."""
+    share = lambda a, b: F.when(F.coalesce(b, F.lit(0)) > 0, F.round(F.coalesce(F.col(a), F.lit(0)) / F.col(b), 9)).otherwise(0.0)
+    return _skills(spark, sf_dir).select("name", "status", share("successes", "uses").alias("hit_rate"), share("uses", "recalls").alias("trigger_precision"))
+
+
+@query(f"WITH {LESSONS}, r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts DESC NULLS LAST, id) AS nth FROM le WHERE trace_id IS NOT NULL) SELECT trace_id, id, outcome FROM r WHERE nth = 1")
+def lesson_for_trace(spark, sf_dir):
+    """The newest lesson of each trace."""
+    w = Window.partitionBy("trace_id").orderBy(F.desc_nulls_last("ts"), "id")
+    return _lessons(spark, sf_dir).where("trace_id is not null").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("trace_id", "id", "outcome")
+
+
+@query()
+def sanitized_traces(spark, sf_dir):
+    """Traces after redaction and caps, by their characters and a digest (whole traces; see tests)."""
+    d = sanitize.sanitize(_traces(spark, sf_dir).where("id is not null"))
+    return d.select("id", sanitize.total_chars(F.col("steps")).alias("chars"), F.xxhash64(F.to_json(F.struct("steps"))).alias("digest")).distinct()
+
+
 @query(f"""WITH RECURSIVE {OUTCOME}, u AS (SELECT DISTINCT unnest(skills_used) AS name, ts, id, outcome FROM oc), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, id) AS k FROM u WHERE name IS NOT NULL AND ts IS NOT NULL),
 f AS (SELECT name, 0::BIGINT AS k, 0::BIGINT AS uses, 0::BIGINT AS successes, 0::BIGINT AS failures, 'candidate' AS status FROM (SELECT DISTINCT name FROM o) UNION ALL
  SELECT name, k, uses, successes, failures, CASE WHEN s1 = 'active' AND uses >= 4 AND successes / uses < 0.4 THEN 'quarantine' ELSE s1 END FROM (SELECT f.name, o.k, f.uses + 1 AS uses, f.successes + (o.outcome = 'success')::BIGINT AS successes, f.failures + (o.outcome = 'failure')::BIGINT AS failures, CASE WHEN f.status = 'candidate' AND f.successes + (o.outcome = 'success')::BIGINT >= 1 THEN 'active' ELSE f.status END AS s1 FROM f JOIN o ON o.name = f.name AND o.k = f.k + 1))
