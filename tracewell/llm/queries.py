@@ -90,4 +90,18 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_by_source": p4_by_source, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
-ORACLES: dict[str, str] = {}
+# The same in SQL, by all pairs, where SQL can say it.
+_BAGS = """b AS (SELECT f, k, w, count(*) AS c FROM (SELECT f, k, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS w FROM x) GROUP BY ALL),
+n AS (SELECT f, k, sum(c) AS n FROM b GROUP BY ALL),
+s AS (SELECT a.f, a.k AS i, b.k AS j, sum(least(a.c, b.c)) AS m FROM b a JOIN b ON a.f = b.f AND a.w = b.w AND a.k < b.k GROUP BY ALL),
+o AS (SELECT s.f, i, j, m / (p.n + q.n - m) AS overlap FROM s JOIN n p ON p.f = s.f AND p.k = i JOIN n q ON q.f = s.f AND q.k = j)"""
+ORACLES = {
+    "p2_found": f"WITH x AS (SELECT DISTINCT 'skill_body' AS f, name AS k, body AS t FROM skills UNION SELECT 'skill_description', name, description FROM skills UNION SELECT 'lesson_rule', id, rule FROM lessons), {_BAGS} SELECT f AS field, i AS key_a, j AS key_b FROM o WHERE overlap >= 0.70",
+    "p3_found": """WITH v AS (SELECT name, any_value(embedding)::DOUBLE[] AS e FROM skills WHERE len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY name),
+c AS (SELECT a.name AS x, b.name AS y, list_cosine_similarity(a.e, b.e) AS cos FROM v a JOIN v b ON a.name <> b.name), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) AS k FROM c)
+SELECT DISTINCT least(x, y) AS name_a, greatest(x, y) AS name_b FROM r WHERE k <= 8 AND cos >= 0.80""",
+    "p4_found": f"WITH y AS (SELECT DISTINCT id, lower(trim(split)) = 'train' AS train, prompt FROM tasks WHERE trim(split) <> ''), x AS (SELECT DISTINCT 0 AS f, id AS k, prompt AS t FROM y), {_BAGS} SELECT DISTINCT i AS task_a, j AS task_b FROM o JOIN y p ON p.id = i JOIN y q ON q.id = j WHERE overlap >= 0.75 AND p.train <> q.train",
+    "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+g AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)), h AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
+}
