@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def n_calls(steps: Column) -> Column:
-    """Tool calls of all steps; null steps or calls count as none."""
-    return F.aggregate(steps, F.lit(0), lambda a, s: a + F.coalesce(F.array_size(s["tool_calls"]), F.lit(0)))
+def n_calls(calls: Column) -> Column:
+    """Tool calls of all steps, from ``steps.tool_calls``, so that contents aren't read; null steps or calls count as none."""
+    return F.aggregate(calls, F.lit(0), lambda a, c: a + F.coalesce(F.array_size(c), F.lit(0)))
 
 
-def n_errors(steps: Column) -> Column:
-    """Tool calls with an error; an empty error is none."""
-    of = lambda s: F.array_size(F.filter(s["tool_calls"], lambda c: F.coalesce(c["error"] != "", F.lit(False))))
-    return F.aggregate(steps, F.lit(0), lambda a, s: a + F.coalesce(of(s), F.lit(0)))
+def n_errors(calls: Column) -> Column:
+    """Tool calls with an error, from ``steps.tool_calls``; an empty error is none."""
+    failed = lambda c: F.coalesce(F.array_size(F.filter(c, lambda x: F.coalesce(x["error"] != "", F.lit(False)))), F.lit(0))
+    return F.aggregate(calls, F.lit(0), lambda a, c: a + failed(c))
 
 
 def slim(traces: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def slim(traces: DataFrame) -> DataFrame:
     where they lie; only the narrow row is shuffled.
     """
     rows = traces.where(F.col("id").isNotNull()).select(
-        "id", "agent", "ts", "received", "eval_id", "skills_used", F.coalesce(n_calls(F.col("steps")), F.lit(0)).alias("calls"), F.coalesce(n_errors(F.col("steps")), F.lit(0)).alias("errors"), "signals"
+        "id", "agent", "ts", "received", "eval_id", "skills_used", F.coalesce(n_calls(F.col("steps.tool_calls")), F.lit(0)).alias("calls"), F.coalesce(n_errors(F.col("steps.tool_calls")), F.lit(0)).alias("errors"), "signals"
     )
     latest = Window.partitionBy("id").orderBy(F.col("received").desc_nulls_last(), F.desc(F.coalesce(F.array_size("signals"), F.lit(0))))
     return rows.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth")
