@@ -39,7 +39,7 @@ STOCK = ("meeting lunch handbook rota monday thanks polite summary shared", "die
 FREE_TOPICS = 10
 LEAST_SHARE = 0.001
 VOCABULARY = 20_000
-ROUNDS, INNER = 5, 12
+ROUNDS, INNER = 4, 8
 ALPHA, ETA = 0.1, 0.02
 SHARE = 0.25
 TOP_TERMS = 20
@@ -98,7 +98,10 @@ def expectation(docs: list[dict[int, int]], beta: np.ndarray, sums: np.ndarray |
             weight = counts / (np.matmul(b, t[:, :, None])[:, :, 0] + 1e-30)
             gamma = ALPHA + t * np.matmul(weight[:, None, :], b)[:, 0, :]
         if sums is not None:
-            np.add.at(sums, ids.ravel(), (weight[:, :, None] * b * t[:, None, :]).reshape(-1, k))
+            flat = ids.ravel()
+            by = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(flat[by]) > 0))
+            sums[flat[by][first]] += np.add.reduceat((weight[:, :, None] * b * t[:, None, :]).reshape(-1, k)[by], first, axis=0)
         theta[some] = gamma / gamma.sum(1, keepdims=True)
     return theta
 
