@@ -92,6 +92,33 @@ def test_cross_split(spark, monkeypatch, cell):
     assert got == want
 
 
+def linked(spark, rows):
+    df = spark.createDataFrame(rows, "key string, train boolean, text string")
+    return {(x.train_key, x.other_key): x for x in P.key_links(*P.cross_split(df, 0.75)).collect()}
+
+
+def test_cross_split_without_common_chunks(spark):
+    # Edits spread over a text until just above the overlap asked for, and other orders of its words.
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(900)]
+    rows, want, low = [], set(), 0
+    for i in range(150):
+        w = [r.choice(vocab) for _ in range(32)]
+        v = list(w)
+        if i % 3 == 0:
+            v = [x for j, x in enumerate(w) if j % 4 != 1]  # every fourth word is gone
+        elif i % 3 == 1:
+            for j in range(2, 32, 8):
+                v[j] = f"x{i}y{j}"
+        else:
+            r.shuffle(v)
+        rows += [(f"a{i}", True, " ".join(w)), (f"b{i}", False, " ".join(v))]
+        want.add((f"a{i}", f"b{i}"))
+        part = sum(k * min(n, Counter(P.chunks_of(v))[c, k]) for (c, k), n in Counter(P.chunks_of(w)).items()) / len(w)
+        low += part < P.SHARE
+    assert low >= 20 and set(linked(spark, rows)) == want
+
+
 def test_sides(spark):
     rows = [("a", " TRAIN ", "x"), ("b", "Test", "x"), ("c", None, "x"), ("d", "  ", "x"), ("e", "heldout", None)]
     got = {(r.key, r.train) for r in P.task_sides(spark.createDataFrame(rows, "id string, split string, prompt string")).select("key", F.col("train")).collect()}

@@ -3,9 +3,12 @@
 A record is normalised to its words. A rolling hash over the last ``WINDOW`` characters, looked at where a word ends,
 decides whether a chunk ends there, so an edit changes only the chunks next to it. Digests of chunks are joined across
 the splits, rarest first: a record is entered under its leading chunks only, so many that any record sharing at least
-``SHARE`` of its words in whole chunks meets it under one of them. A join row is kept only if two 64-bit sets of hashed
-words allow the overlap asked for, which loses nothing. Of what is left the lengths of shared chunks are summed into a
-fraction for each of the two records, and the overlap is checked on the words.
+``SHARE`` of its words in whole chunks meets it under one of them. Edits that leave fewer whole chunks, or another order
+of the words, are met by the words themselves: on the same join a record is also entered under its rarest words, so many
+that two records without a common one can't have the overlap asked for. So no pair is missed. A join row is kept only if
+the places of the word met and two 64-bit sets of hashed words allow the overlap, which loses nothing. Of what is left
+the lengths of shared chunks are summed into a fraction for each of the two records, and the overlap is checked on the
+words.
 
 A digest that many records hold is split into a square of cells: a training record is entered along its row, another
 along its column, so that each pair meets in one cell and no cell is large.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.words import words
-from tracewell.llm.neardup import FREQ_BITS, _ragged, bag_overlap, group_frequencies
+from tracewell.llm.neardup import FREQ_BITS, _ragged, bag_overlap, group_frequencies, leading
 from tracewell.plans.runtime import bounded_broadcast, spread, stage
 
 WINDOW = 4
@@ -54,8 +58,14 @@ def _digest(s: str) -> int:
     return int.from_bytes(blake2b(s.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 16)
+def _word(x: str, nth: int) -> int:
+    """Digest of the nth copy of a word, apart from those of chunks."""
+    return _digest(f"\n{x} {nth}")
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, train, w) to (key, train, n, c1, c2, m1, m2, d, l)."""
+    """(key, train, w) to (key, train, n, c1, c2, m1, m2, d, l, e); e are digests of the words."""
     for b in batches:
         rows = []
         for w in b.column(2).to_pylist():
@@ -69,14 +79,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c[_digest(chunk), length] += 1
             # The nth copy of a chunk is a chunk of its own.
             d = [(x if i == 0 else _digest(f"{x} {i}"), length) for (x, length), k in c.items() for i in range(k)]
-            rows.append((len(w), int.from_bytes(bag[:8], "little", signed=True), int.from_bytes(bag[8:], "little", signed=True), *(x - (x >> 63 << 64) for x in m), [x for x, _ in d], [x for _, x in d]))
-        cols = [list(x) for x in zip(*rows, strict=True)] or [[] for _ in range(7)]
-        kinds = [pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], ["key", "train", "n", "c1", "c2", "m1", "m2", "d", "l"])
+            rows.append((len(w), int.from_bytes(bag[:8], "little", signed=True), int.from_bytes(bag[8:], "little", signed=True), *(x - (x >> 63 << 64) for x in m), [x for x, _ in d], [x for _, x in d], [_word(x, i) for x, k in Counter(w).items() for i in range(k)]))
+        cols = [list(x) for x in zip(*rows, strict=True)] or [[] for _ in range(8)]
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], ["key", "train", "n", "c1", "c2", "m1", "m2", "d", "l", "e"])
+
 
+def _leading(classes: DataFrame, frequencies: np.ndarray, least: float) -> DataFrame:
+    """A row for each leading chunk and word of each class, and for each cell of it that the class stands in.
 
-def _leading(classes: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """A row for each leading chunk of each class, and for each cell of the chunk that the class stands in."""
+    ``most``: how many words a record met there for the first time can share; of a chunk, all.
+    """
     spark = classes.sparkSession
     held = spark.sparkContext.broadcast(frequencies.astype(np.int64))
 
@@ -98,6 +111,15 @@ def _leading(classes: DataFrame, frequencies: np.ndarray) -> DataFrame:
             left = n[row] - (before - before[off[:-1]][row])  # words in this chunk and the more frequent ones
             keep = left >= SHARE * n[row]
             d, f, row = d[keep], f[keep], row[keep]
+            e, off = _ragged(b.column(8))
+            size = np.diff(off)
+            of = np.repeat(np.arange(len(size)), size)
+            g = freq[(e >> np.uint64(64 - FREQ_BITS)).astype(np.int64)]
+            order = np.lexsort((e, g, of))
+            at = np.arange(len(e)) - np.repeat(off[:-1], size)
+            keep = at < leading(n, least)[of]
+            most = np.concatenate([n[row], (n[of] - at)[keep]]).astype(np.int32)
+            d, f, row = (np.concatenate(x) for x in ((d, e[order][keep]), (f, g[order][keep]), (row, of[keep])))
             train = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
             c1 = b.column(2).to_numpy()
             cells = np.maximum(1, -(-f // CELL))
@@ -106,9 +128,9 @@ def _leading(classes: DataFrame, frequencies: np.ndarray) -> DataFrame:
             own = (c1[row].view(np.uint64) % cells.astype(np.uint64)).astype(np.int64)
             cell = np.where(train[row[of]], own[of] * cells[of] + nth, nth * cells[of] + own[of])
             take = pa.array(row[of])
-            yield pa.RecordBatch.from_arrays([pa.array(d[of].view(np.int64)), pa.array(cell.astype(np.int32)), *(b.column(i).take(take) for i in range(6))], ["tok", "cell", "train", "n", "c1", "c2", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[of].view(np.int64)), pa.array(cell.astype(np.int32)), pa.array(most[of]), *(b.column(i).take(take) for i in range(6))], ["tok", "cell", "most", "train", "n", "c1", "c2", "m1", "m2"])
 
-    return classes.select("train", "n", "c1", "c2", "m1", "m2", "d", "l").mapInArrow(run, "tok long, cell int, train boolean, n int, c1 long, c2 long, m1 long, m2 long")
+    return classes.select("train", "n", "c1", "c2", "m1", "m2", "d", "l", "e").mapInArrow(run, "tok long, cell int, most int, train boolean, n int, c1 long, c2 long, m1 long, m2 long")
 
 
 def cross_split(records: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -122,16 +144,16 @@ def cross_split(records: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
     of the two sides are linked as well; an empty table gives empty results.
     """
     src = spread(records.select("key", "train", "text")).where(F.col("key").isNotNull() & F.col("train").isNotNull() & F.col("text").isNotNull()).select("key", "train", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    sig = stage(src.mapInArrow(_signatures, "key string, train boolean, n int, c1 long, c2 long, m1 long, m2 long, d array<long>, l array<int>"), "chunks")
-    frequencies = group_frequencies(sig.select(F.col("d").alias("h")))
-    classes = sig.groupBy("train", "c1", "c2").agg(F.min(F.struct("d", "l", "n", "m1", "m2")).alias("x")).select("train", "c1", "c2", "x.*")
+    sig = stage(src.mapInArrow(_signatures, "key string, train boolean, n int, c1 long, c2 long, m1 long, m2 long, d array<long>, l array<int>, e array<long>"), "chunks")
+    frequencies = group_frequencies(sig.select(F.concat("d", "e").alias("h")))
+    classes = sig.groupBy("train", "c1", "c2").agg(F.min(F.struct("d", "l", "n", "m1", "m2", "e")).alias("x")).select("train", "c1", "c2", "x.*")
     classes = stage(classes, "chunk-classes")
-    rows = _leading(classes, frequencies)
-    a = rows.where("train").select("tok", "cell", F.col("n").alias("na"), F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("m1").alias("p1"), F.col("m2").alias("p2"))
-    b = rows.where("not train").select("tok", "cell", F.col("n").alias("nb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("m1").alias("q1"), F.col("m2").alias("q2"))
+    rows = _leading(classes, frequencies, least)
+    a = rows.where("train").select("tok", "cell", F.col("most").alias("ta"), F.col("n").alias("na"), F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("m1").alias("p1"), F.col("m2").alias("p2"))
+    b = rows.where("not train").select("tok", "cell", F.col("most").alias("tb"), F.col("n").alias("nb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("m1").alias("q1"), F.col("m2").alias("q2"))
     need = F.ceil((F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - F.lit(1e-9))
     bits = lambda x, y: F.bit_count(F.col(f"{x}1").bitwiseAND(F.bitwise_not(f"{y}1"))) + F.bit_count(F.col(f"{x}2").bitwiseAND(F.bitwise_not(f"{y}2")))
-    met = a.join(b, ["tok", "cell"]).where((bits("p", "q") <= F.col("na") - need) & (bits("q", "p") <= F.col("nb") - need))
+    met = a.join(b, ["tok", "cell"]).where((F.least("ta", "tb") >= need) & (bits("p", "q") <= F.col("na") - need) & (bits("q", "p") <= F.col("nb") - need))
     pairs = stage(met.select("a1", "a2", "b1", "b2").distinct(), "chunk-pairs")
 
     ends = pairs.select(F.lit(True).alias("train"), F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(pairs.select(F.lit(False), "b1", "b2")).distinct()
