@@ -119,6 +119,18 @@ def test_cross_split_without_common_chunks(spark):
     assert low >= 20 and set(linked(spark, rows)) == want
 
 
+def test_cross_split_other_order(spark):
+    # Two training records of equal words: each keeps its own chunks, and each is linked with what copies it.
+    w = [f"w{i}" for i in range(30)]
+    v = list(w)
+    random.Random(3).shuffle(v)
+    near = [*v[:28], "x1", "x2"]
+    got = linked(spark, [("a", True, " ".join(w)), ("b", True, " ".join(v)), ("c", False, " ".join(w)), ("d", False, " ".join(v)), ("e", False, " ".join(near))])
+    assert set(got) == {(x, y) for x in "ab" for y in "cde"}
+    assert all(got[p].part_train == got[p].part_other == got[p].overlap == 1 for p in (("a", "c"), ("b", "d")))
+    assert got["a", "d"].part_other == got["b", "c"].part_other < 0.5 and got["b", "e"].part_other > 0.8 > got["a", "e"].part_other
+
+
 def test_sides(spark):
     rows = [("a", " TRAIN ", "x"), ("b", "Test", "x"), ("c", None, "x"), ("d", "  ", "x"), ("e", "heldout", None)]
     got = {(r.key, r.train) for r in P.task_sides(spark.createDataFrame(rows, "id string, split string, prompt string")).select("key", F.col("train")).collect()}

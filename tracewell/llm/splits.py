@@ -69,13 +69,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for w in b.column(2).to_pylist():
-            bag = blake2b(" ".join(sorted(w)).encode(), digest_size=16).digest()
+            chunks = chunks_of(w)
+            bag = blake2b("\n".join(sorted(x for x, _ in chunks)).encode(), digest_size=16).digest()  # of chunks, so that no record's own are lost
             m = [0, 0]
             for x in set(w):
                 h = zlib.crc32(x.encode())
                 m[h & 1] |= 1 << (h >> 1) % 64
             c = Counter()
-            for chunk, length in chunks_of(w):
+            for chunk, length in chunks:
                 c[_digest(chunk), length] += 1
             # The nth copy of a chunk is a chunk of its own.
             d = [(x if i == 0 else _digest(f"{x} {i}"), length) for (x, length), k in c.items() for i in range(k)]
@@ -134,7 +135,7 @@ def _leading(classes: DataFrame, frequencies: np.ndarray, least: float) -> DataF
 
 
 def cross_split(records: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal records and links across splits.
+    """Classes of records of equal chunks, in whatever order, and links across splits.
 
     ``records``: key STRING, train BOOLEAN, text STRING. Returns (members, links): members (key, train, c1, c2); links
     (a1, a2, b1, b2, part_a, part_b, overlap), a row per training class a and other class b whose overlap of words is at
