@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,3 +120,17 @@ def test_subjects(spark):
     assert not set(got) & {900, 901, 902, None}
     assert subjects.document_subjects(df.where("false"), names).count() == 0
     assert subjects.document_subjects(df, names.where("false")).count() == 0
+
+
+def test_subject_steps(monkeypatch):
+    # The proportions lie near those of a fit carried on to its end.
+    r = np.random.default_rng(1)
+    beta = r.dirichlet(np.full(300, 0.05), 20).T.astype(np.float32)
+    docs = []
+    for _ in range(200):
+        p = beta @ r.dirichlet(np.full(20, 0.1))
+        docs.append({int(w): int(c) for w, c in zip(*np.unique(r.choice(300, 40, p=p / p.sum()), return_counts=True), strict=True)})
+    got = subjects.expectation(docs, beta)
+    monkeypatch.setattr(subjects, "INNER", 400)
+    assert np.abs(got - subjects.expectation(docs, beta)).sum(1).mean() / 2 < 0.008
+    assert subjects.ROUNDS >= 5
