@@ -74,3 +74,16 @@ def test_table(spark):
     assert got == {("t1", 0, -1, "content", 28), ("t1", 0, 0, "result", 12)}
     assert S.credentials(df.where("false")).count() == 0
     assert S.redacted(df).count() == 2
+
+
+def test_hint_passes_what_the_reader_knows(spark):
+    v = "kX9mQ2vL7pRz"
+    names = sorted({*S._strong, *S._weak, *(f"{x}Key" for x in S._key_of)})
+    spelt = [n for x in names for n in (x, f"X_{x.upper()}", f"db{x[0].upper()}{x[1:]}", f"{x}_")]
+    texts = [t for n in spelt for t in (f'{n} = "{v}"', f"{n}={v}", f'"{n}": "{v}"', f"a\\n{n}: {v}", f'{n}("{v}")', f"--{n} {v}", f"-{n}={v}")]
+    texts += [t for c in ("mysql", "psql", "mongo", "redis-cli") for t in (f"{c} -h a -a {v}", f"{c} -h a -p{v}", f"{c} a\\n-a {v}")]
+    texts += [f"({x} a:{v}" for x in ("-u", "--user")] + [f"Basic\t{v}QZ", f"a\\nsk_live_{v}{v}", f"pin for a is {v}", *(c[0] for c in CASES)]
+    known = [t for t in texts if S.spans(t)]
+    assert len(known) > 700
+    df = spark.createDataFrame([(t,) for t in known], "t string")
+    assert [r.t for r in df.where(~df.t.rlike(S.HINT)).collect()] == []

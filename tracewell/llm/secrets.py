@@ -18,12 +18,6 @@ from pyspark.sql import functions as F
 
 from tracewell.plans.runtime import spread
 
-#: What any text with a credential holds; a cheap test before the reading.
-HINT = (
-    r"(?i)passw|passphrase|passwd|passcode|pass\b|pwd|secret|token|key|cred|bearer|basic |kennwort|contrase|clave|schl(ü|ue|u)ssel|geheim|secreto|_pw\b|\bpw\b|://[^/\s\"]*@|PRIVATE|auth|sig=|\bpin\b"
-    r"|AKIA|ASIA|AIza|eyJ|gh[pousr]_|github_pat|glpat|xox[abeoprs]|\bsk[-_]|\brk_|pk_live|gsk_|hf_|npm_|SG\.|\s-[pPN]\s?\S|\s-u\s|--user|ssh-keygen|login|unlock|enter "
-)
-
 _known = re.compile(
     r"(?<![A-Za-z0-9_\-/+])(?:"
     r"sk-[A-Za-z0-9_\-]{16,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{16,}"
@@ -56,6 +50,18 @@ _strong = {"password", "passwd", "pwd", "passphrase", "passcode", "secret", "tok
 _key_of = {"api", "access", "secret", "private", "signing", "sign", "encryption", "encrypt", "auth", "account", "service", "master", "shared", "storage", "deploy", "app", "client", "session", "crypt", "hmac", "jwt", "aes", "license"}
 _weak = {"key", "auth", "sig", "signature", "authorization", "cookie", "bearer", "pat", "schlüssel", "schluessel", "llave", "access"}
 _not = {"count", "max", "min", "limit", "total", "public", "pub", "name", "type", "path", "file", "url", "uri", "policy", "length", "size", "hash", "fingerprint", "ttl", "expires", "expiry", "num", "usage", "used", "tokens", "budget", "age", "field", "column", "prefix", "hint", "env", "ref", "version", "sha256", "checksum", "id", "ids", "primary", "foreign"}
+_stems = (
+    r"(?i)passw|passphrase|passwd|passcode|pass\b|pwd|secret|token|key|cred|bearer|basic(?:\s|\\[nrt])|kennwort|contrase|clave|schl(ü|ue|u)ssel|geheim|secreto|://[^/\s\"]*@|PRIVATE|auth|sig="
+    r"|AKIA|ASIA|AIza|eyJ|gh[pousr]_|github_pat|glpat|xox[abeoprs]|\bsk[-_]|\\[nrt]sk[-_]|\brk_|\\[nrt]rk_|pk_live|gsk_|hf_|npm_|SG\.|(?:\s|\\[nrt])-[pPN]\s?\S|-u(?:\s|\\[nrt])|--user|ssh-keygen|login|unlock|enter "
+    r"|(?:mysql|mariadb|sshpass|psql|mongo|redis-cli)[^\n]*(?:\s|\\[nrt])-a "
+)
+_less = lambda names: "|".join(sorted(x for x in names if not re.search(_stems, x + "_")))
+#: What any text with a credential holds; a cheap test before the reading. Names that no stem holds are added: strong ones
+#: where a part of a name ends, weak ones where something is assigned to them or follows them as a flag.
+HINT = (
+    _stems + rf"|(?:{_less(_strong)})(?!(?-i:[a-zà-ÿß]))"
+    rf"|(?:{_less(_weak)})(?:[_.$\-]*(?:\\{{0,3}}[\"'`]|\])?(?:\s|\\[nrt])*[:=>(])|-(?:{_less(_weak)}) "
+)
 _split = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿß]+|\d+")
 
 _reference = re.compile(r"^(?:\$|%[\w]+%|\{\{|<|@|process\.env|os\.|env[.(\[]|getenv|System\.|ENV\[|vault[.:(]|var\.|secrets?\.|self\.|config\.|settings\.|ref\b|data\.|file\(|read|lookup|keyring|arn:|ssm:|op://|gcp:|kv/|!\w|None\b|null\b|nil\b|undefined\b|true\b|false\b|string\b|str\b)", re.I)
