@@ -64,6 +64,14 @@ def test_copies(spark):
     assert c["k000"] == N.EXPAND + 6 and all(c[k] >= 1 for _, k, _ in rows)
 
 
+def test_many_of_equal_words(spark):
+    # More keys of one bag than EXPAND, in several orders: only equal texts are copies.
+    w = "one two three four five six".split()
+    rows = [(0, f"k{i:03}", " ".join(w[i % 2 :] + w[: i % 2])) for i in range(N.EXPAND + 6)] + [(0, "near", "one two three four five six seven")]
+    got = {tuple(r) for r in N.key_pairs(*N.near_duplicates(spark.createDataFrame([(*x, 1, "x") for x in rows], SCHEMA), 0.7)).collect()}
+    assert got == brute(rows, 0.7)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.key_pairs(*N.near_duplicates(df, 0.7)).count() == 0

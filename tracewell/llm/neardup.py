@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits, by a count-vector R-tree (problem 2).
 
-A text is the bag of its words; the overlap of two texts is |A ∩ B| / |A ∪ B| over bags. Equal bags form a class, and
-one representative of each class goes into the tree.
+A text is the bag of its words; the overlap of two texts is |A ∩ B| / |A ∪ B| over bags. Equal
+sequences of words form a class, and one representative of each class goes into the tree.
 
 The tree. Words are hashed into ``GROUPS`` groups and a text becomes the point of its group counts; the sum of the
 coordinate minima of two points bounds their shared words from above. A second, very fine hashing (64 bits) gives the
@@ -87,7 +87,8 @@ def leading(n: np.ndarray, least: float) -> np.ndarray:
 def points(hashed: DataFrame, frequencies: np.ndarray, least: float) -> DataFrame:
     """The points of texts: (field, key, c1, c2, n, v1, v2, v3, lead).
 
-    c1, c2 identify the bag (sums of mixed word hashes, which don't depend on order); v1 to v3 hold 63 counts of 3 bits,
+    c1, c2 identify the sequence of words (sums of hashes mixed with their places), so that another order is another
+    class, linked as any other text; v1 to v3 hold 63 counts of 3 bits,
     counts beyond 7 stay out and are known from n; lead are the leading coordinates, rarest first.
     """
     level = np.minimum(255, (8 * np.log2(frequencies + 1.0)).astype(np.int64)).astype(np.uint8)
@@ -99,6 +100,9 @@ def points(hashed: DataFrame, frequencies: np.ndarray, least: float) -> DataFram
             h, off = _ragged(b.column(2))
             n = np.diff(off)
             rows = np.repeat(np.arange(len(n)), n)
+            place = _mix(h) + (np.arange(len(h)) - np.repeat(off[:-1], n)).astype(np.uint64) * _GOLD
+            a, c = _mix(place), _mix(place ^ _GOLD)
+            c1, c2 = np.add.reduceat(a, off[:-1]), np.add.reduceat(c, off[:-1])  # no text here is without words
             lev = rarity[(h >> np.uint64(64 - FREQ_BITS)).astype(np.int64)]
             order = np.lexsort((h, lev, rows))
             h = h[order]
@@ -107,8 +111,6 @@ def points(hashed: DataFrame, frequencies: np.ndarray, least: float) -> DataFram
             start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             nth = (np.arange(len(h)) - start).astype(np.uint64)
             e = h + nth * _GOLD  # the nth copy of a word is a coordinate of its own
-            a, c = _mix(h), _mix(h ^ _GOLD)
-            c1, c2 = np.add.reduceat(a, off[:-1]), np.add.reduceat(c, off[:-1])  # no text here is without words
             counts = np.bincount(rows * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
             capped = np.minimum(counts, 7).astype(np.uint64).reshape(len(n), 3, 21)
             v = (capped << (np.arange(21, dtype=np.uint64) * np.uint64(3))).sum(2, dtype=np.uint64).view(np.int64)
@@ -252,7 +254,7 @@ def bag_overlap(a, b) -> float:
 def near_duplicates(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Classes and links of ``texts`` (field INT, key STRING, text STRING).
 
-    Returns (members, links): members are (field, c1, c2, key), a row per key and class of equal bags; links are
+    Returns (members, links): members are (field, c1, c2, key), a row per key and class of equal word sequences; links are
     (field, a1, a2, b1, b2, overlap), a row per pair of different classes of one field whose overlap is at least
     ``least``, found by the tree and checked on the words themselves.
 
