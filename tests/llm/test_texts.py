@@ -122,15 +122,53 @@ def test_subjects(spark):
     assert subjects.document_subjects(df, names.where("false")).count() == 0
 
 
-def test_subject_steps(monkeypatch):
-    # The proportions lie near those of a fit carried on to its end.
+def _sampled():
     r = np.random.default_rng(1)
     beta = r.dirichlet(np.full(300, 0.05), 20).T.astype(np.float32)
-    docs = []
-    for _ in range(200):
-        p = beta @ r.dirichlet(np.full(20, 0.1))
-        docs.append({int(w): int(c) for w, c in zip(*np.unique(r.choice(300, 40, p=p / p.sum()), return_counts=True), strict=True)})
-    got = subjects.expectation(docs, beta)
-    monkeypatch.setattr(subjects, "INNER", 400)
-    assert np.abs(got - subjects.expectation(docs, beta)).sum(1).mean() / 2 < 0.008
-    assert subjects.ROUNDS >= 5
+    docs = [r.choice(300, 40, p=(p := beta @ r.dirichlet(np.full(20, 0.1))) / p.sum()).tolist() for _ in range(200)]
+    return beta, subjects.pack([*docs, [], [7]])
+
+
+def test_subject_steps(monkeypatch):
+    # The proportions lie near those of a fit that keeps all topics and is carried on to its end.
+    beta, bags = _sampled()
+
+    def proportions():
+        out = np.zeros((len(bags.size), 20))
+        for some, ids, counts in bags.blocks(900):
+            g, *_ = subjects.infer(ids, counts, beta)
+            assert np.allclose(g.sum(1), counts.sum(1) + 20 * subjects.ALPHA, rtol=1e-3)
+            out[some] = g / g.sum(1, keepdims=True)
+        return out
+
+    got = proportions()
+    for name, value in (("KEPT", 20), ("STEPS", 400), ("STILL", 0)):
+        monkeypatch.setattr(subjects, name, value)
+    assert np.abs(got - proportions()).sum(1).mean() / 2 < 0.02
+
+
+def test_subject_sums():
+    # The expected counts of a document's words add up to its words, however blocks are cut.
+    beta, bags = _sampled()
+    sums = np.zeros(beta.shape)
+    subjects.expectation(bags, beta, sums)
+    words = np.bincount(bags.ids, bags.counts, 300)
+    assert np.allclose(sums.sum(1), words, rtol=1e-3, atol=1e-3)
+
+
+def test_subject_anchors():
+    # Of rows that are mixtures of five, five that span them are taken, and no more.
+    r = np.random.default_rng(2)
+    pure = r.normal(size=(5, 30))
+    rows = np.concatenate([pure, r.dirichlet(np.full(5, 2.0), 60) @ pure])
+    assert len(subjects.anchors(rows, np.ones(65), np.zeros(30), 20)) == 5
+
+
+def test_no_list_in_the_fit(spark, monkeypatch):
+    # The fit doesn't know the terms: without them the topics are the same, and belong to no subject.
+    docs = [(i, f"We moved the {a} and the {b} once more. Then the {a} was fine.") for i in range(300) for a, b in [(("pod", "image"), ("wheel", "lockfile"), ("packet", "route"))[i % 3]]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one = subjects.fit(df, ["containers"])
+    monkeypatch.setattr(subjects, "TERMS", {"containers": ("zzz",)})
+    two = subjects.fit(df, ["containers"])
+    assert np.allclose(one.beta, two.beta, atol=1e-4) and (two.of == -1).all()
