@@ -168,7 +168,7 @@ def test_no_list_in_the_fit(spark, monkeypatch):
     # The fit doesn't know the terms: without them the topics are the same, and belong to no subject.
     docs = [(i, f"We moved the {a} and the {b} once more. Then the {a} was fine.") for i in range(300) for a, b in [(("pod", "image"), ("wheel", "lockfile"), ("packet", "route"))[i % 3]]]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    one = subjects.fit(df, ["containers"])
+    one, _ = subjects.fit(df, ["containers"])
     monkeypatch.setattr(subjects, "TERMS", {"containers": ("zzz",)})
-    two = subjects.fit(df, ["containers"])
+    two, _ = subjects.fit(df, ["containers"])
     assert np.allclose(one.beta, two.beta, atol=1e-4) and (two.of == -1).all()

@@ -44,7 +44,7 @@ TERMS = {
 TOPICS, WORDS_A_TOPIC = 128, 6
 OWN_SHARE, HASHED = 0.001, 1024
 #: Shares of documents between which a word may be an anchor, and the width of the projection.
-ANCHOR_FROM, ANCHOR_TO, WIDTH = 0.005, 0.1, 1024
+ANCHOR_FROM, ANCHOR_TO, WIDTH = 0.005, 0.1, 512
 SETTLED, MOST_ROUNDS = 0.07, 40
 FULL_STEPS, STEPS, KEPT, STILL = 2, 12, 16, 0.002
 ALPHA, ETA = 0.1, 0.02
@@ -242,49 +242,45 @@ class Topics:
             out.append((t, self.subjects[self.of[t]] if self.of[t] >= 0 else None, top))
         return out
 
-    def shares(self, texts: list[str]) -> list[dict[str, float]]:
-        """For each text, the share of its statements by subject."""
-        said = [[sorted({row(w, self.place) for w in _word(s.lower())}) for s in statements(t)] for t in texts]
-        bags = pack([[i for s in p for i in s] for p in said])
+    def shares(self, bags: Bags, said: list[np.ndarray], ends: list[np.ndarray]) -> list[dict[str, float]]:
+        """For each document, the share of its statements by subject. ``said``: places in the document's bag of the distinct
+        words of its statements, end to end; ``ends``: where each statement ends there."""
         vote = np.zeros((self.beta.shape[1], len(self.subjects) + 1), np.float32)
         vote[np.arange(len(self.of)), self.of] = 1
         lift = np.maximum(np.log(self.beta + 1e-9) - np.log(self.total[:, None] + 1e-9), 0).astype(np.float32)
         lift[len(self.words) :] = 0  # a shared row says nothing of the word
-        out: list[dict[str, float]] = [{} for _ in texts]
+        out: list[dict[str, float]] = [{} for _ in said]
         for some, ids, counts in bags.blocks():
             gamma, *_ = infer(ids, counts, self.beta)
             theta = gamma / gamma.sum(1, keepdims=True) + PRIOR
             q = theta[:, None, :] * self.beta[ids]
-            q /= q.sum(2, keepdims=True)
-            votes = np.matmul(q * lift[ids], vote)[:, :, :-1]  # documents, words, subjects
-            for d, words, e in zip(some, ids, votes, strict=True):
-                n = bags.size[d]
-                at = dict(zip(words[:n].tolist(), range(n), strict=True))
-                p = said[d]
-                begins = np.cumsum([0, *(len(s) for s in p[:-1])])
-                score = np.add.reduceat(e[[at[i] for s in p for i in s]], begins, axis=0)
+            votes = np.matmul(q * lift[ids], vote)[:, :, :-1] / q.sum(2)[:, :, None]  # documents, words, subjects
+            for d, e in zip(some, votes, strict=True):
+                score = np.add.reduceat(e[said[d]], np.append(0, ends[d][:-1]), axis=0)
                 best = score.argmax(1)
-                for j in best[score[np.arange(len(p)), best] >= EVIDENCE]:
+                for j in best[score[np.arange(len(score)), best] >= EVIDENCE]:
                     name = self.subjects[j]
-                    out[d][name] = out[d].get(name, 0) + 1 / len(p)
+                    out[d][name] = out[d].get(name, 0) + 1 / len(score)
         return out
 
 
-def row(word: str, place: dict[str, int]) -> int:
-    """The row of a word: its own, or one of the shared ones."""
-    i = place.get(word)
-    return len(place) + zlib.crc32(word.encode()) % HASHED if i is None else i
-
-
 def pack(docs: list[list[int]]) -> Bags:
-    """Bags of lists of rows."""
+    """Bags of lists of rows, each bag in order of rows."""
     ids, counts, at = [], [], [0]
     for d in docs:
-        i, c = np.unique(np.array(d, np.int32), return_counts=True)
-        ids.append(i)
-        counts.append(c.astype(np.int32))
-        at.append(at[-1] + len(i))
-    return Bags(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(counts) if counts else np.zeros(0, np.int32), np.array(at))
+        c: dict[int, int] = {}
+        for i in d:
+            c[i] = c.get(i, 0) + 1
+        own = sorted(c)
+        ids += own
+        counts += [c[i] for i in own]
+        at.append(len(ids))
+    return Bags(np.array(ids, np.int32), np.array(counts, np.int32), np.array(at))
+
+
+def _lists(c: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of lists of integers, none null."""
+    return np.split(c.flatten().to_numpy(), c.offsets.to_numpy()[1:-1] - c.offsets.to_numpy()[0])
 
 
 def _added(bags: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
@@ -309,18 +305,28 @@ def _added(bags: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
     return out
 
 
-def fit(documents: DataFrame, subjects: list[str]) -> Topics | None:
-    """The model of ``documents`` (doc_id, text; no nulls), with its topics mapped to ``subjects``; None without words."""
-    spark = documents.sparkSession
-    context = spark.sparkContext
+def fit(documents: DataFrame, subjects: list[str]) -> tuple[Topics, DataFrame] | None:
+    """The model of ``documents`` (doc_id, text; no nulls), with its topics mapped to ``subjects``, and the documents as
+    bags of rows (doc_id, ids, counts, said, ends: see ``Topics.shares``); None without words."""
+    context = documents.sparkSession.sparkContext
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_word(" ".join(statements(t)).lower()) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["w"])
-
-    said = stage(documents.select("text").mapInArrow(split, "w array<string>").where(F.size("w") > 0), "subject-words")
-    n = said.count()
-    seen = said.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+            words, ends = [], []
+            for t in b.column(1).to_pylist():
+                own: list[str] = []
+                end = []
+                for s in statements(t):
+                    own += _word(s.lower())
+                    end.append(len(own))
+                words.append(own)
+                ends.append(end)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))], ["doc_id", "w", "ends"])
+
+    texts = documents.select("doc_id", "text").mapInArrow(split, "doc_id long, w array<string>, ends array<int>").where(F.size("w") > 0)
+    texts = stage(texts, "subject-words")
+    n = texts.count()
+    seen = texts.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     words = sorted(tuple(r) for r in seen.where(F.col("df") >= max(2.0, n * OWN_SHARE)).collect())  # as many as a share allows
     if not words or not subjects:
         return None
@@ -330,11 +336,24 @@ def fit(documents: DataFrame, subjects: list[str]) -> Topics | None:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = held.value
         for b in batches:
-            x = pack([[row(w, place) for w in d] for d in b.column(0).to_pylist()])
+            rows, said, ends = [], [], []
+            for d, end in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                own = [i if (i := place.get(w)) is not None else len(place) + zlib.crc32(w.encode()) % HASHED for w in d]
+                at = {w: i for i, w in enumerate(sorted(set(own)))}
+                flat: list[int] = []
+                upto = []
+                for a, e in zip([0, *end], end, strict=False):
+                    flat += {at[w] for w in own[a:e]}
+                    upto.append(len(flat))
+                rows.append(own)
+                said.append(flat)
+                ends.append(upto)
+            x = pack(rows)
             lists = [pa.ListArray.from_arrays(pa.array(x.at, pa.int32()), pa.array(v, pa.int32())) for v in (x.ids, x.counts)]
-            yield pa.RecordBatch.from_arrays(lists, ["ids", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(said, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc_id", "ids", "counts", "said", "ends"])
 
-    bags = stage(said.mapInArrow(number, "ids array<int>, counts array<int>"), "subject-bags")
+    whole = stage(texts.mapInArrow(number, "doc_id long, ids array<int>, counts array<int>, said array<int>, ends array<int>"), "subject-bags")
+    bags = whole.select("ids", "counts")
     rows = len(words) + HASHED
     share = df / df.sum()
     among = np.flatnonzero((df >= ANCHOR_FROM * n) & (df <= ANCHOR_TO * n)) if n * ANCHOR_FROM >= 2 else np.arange(len(words))
@@ -362,7 +381,7 @@ def fit(documents: DataFrame, subjects: list[str]) -> Topics | None:
         last = sums
     model = Topics([w for w, _ in words], total, beta, subjects)
     model.map_topics()
-    return model
+    return model, whole
 
 
 def document_subjects(documents: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -374,14 +393,15 @@ def document_subjects(documents: DataFrame, subjects: DataFrame) -> DataFrame:
     """
     names = sorted(r[0] for r in subjects.select("subject").distinct().collect() if r[0])
     src = spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
-    model = fit(src, names)
-    if model is None:
+    fitted = fit(src, names)
+    if fitted is None:
         return documents.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
-    final = documents.sparkSession.sparkContext.broadcast(model)
+    final = documents.sparkSession.sparkContext.broadcast(fitted[0])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, s, v) for d, x in zip(b.column(0).to_pylist(), final.value.shares(b.column(1).to_pylist()), strict=True) for s, v in x.items() if v >= SHARE - 1e-9]
+            found = final.value.shares(Bags.of(b), _lists(b.column("said")), _lists(b.column("ends")))
+            rows = [(d, s, v) for d, x in zip(b.column("doc_id").to_pylist(), found, strict=True) for s, v in x.items() if v >= SHARE - 1e-9]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["doc_id", "subject", "share"])
 
-    return src.mapInArrow(assign, "doc_id long, subject string, share double").groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
+    return fitted[1].mapInArrow(assign, "doc_id long, subject string, share double").groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
