@@ -13,8 +13,8 @@ def can_activate(cleared: Column, needs_approval: Column, approved: Column) -> C
 
 
 def judge_passes(overall: Column, verdicts: Column, flags: list[Column]) -> Column:
-    """Overall 'pass', no verdict 'fail' among the first four, and no flag false; a missing flag is true."""
-    ok = F.coalesce(overall == "pass", F.lit(False)) & ~F.exists(F.slice(F.coalesce(verdicts, F.array().cast("array<string>")), 1, 4), lambda v: F.coalesce(v == "fail", F.lit(False)))
+    """Overall 'pass', no verdict 'fail' in any place, and no flag false; a missing flag is true."""
+    ok = F.coalesce(overall == "pass", F.lit(False)) & ~F.exists(F.coalesce(verdicts, F.array().cast("array<string>")), lambda v: F.coalesce(v == "fail", F.lit(False)))
     for f in flags:
         ok = ok & F.coalesce(f, F.lit(True))
     return ok

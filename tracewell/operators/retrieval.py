@@ -16,6 +16,9 @@ ANCHOR = 3
 AUTHORING = r"(?i)\b(writ\w*|creat\w*|new|scaffold\w*|author\w*|generat\w*|template|scratch|bootstrap\w*|design\w*)\b"
 BM25_WEIGHTS, K1, B = {"name": 5.0, "description": 3.0, "body": 1.0, "queries": 4.0}, 1.2, 0.75
 RETRIEVABLE = ("active", "candidate")
+DUPLICATE = 0.75
+QUERY_DROP = ("a", "an", "the", "is", "are", "was", "i", "me", "my", "we")
+KEYWORD_DROP = ("a", "an", "the", "of", "in", "for", "and", "or", "to", "with", "your", "my", "own", "our")
 
 
 def latest_skills(skills: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def latest_skills(skills: DataFrame) -> DataFrame:
 
 def profiles(skills: DataFrame) -> DataFrame:
     """(name, term, weight): a skill's terms with the greatest weight of the fields they stand in; the body is left out."""
-    text = lambda c: F.col(c) if c in ("name", "description") else F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
+    text = lambda c: F.regexp_replace("name", "-", " ") if c == "name" else F.col(c) if c == "description" else F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
     fields = F.array(*(F.struct(F.lit(w).alias("weight"), facet_terms(text(c)).alias("terms")) for c, w in WEIGHTS.items()))
     rows = skills.select("name", F.inline(fields)).select("name", "weight", F.explode("terms").alias("term"))
     return rows.groupBy("name", "term").agg(F.max("weight").alias("weight"))
@@ -125,8 +128,9 @@ def coverage(queries: DataFrame, skills: DataFrame, k: int = 3, error: bool = Fa
 
 
 def bm25(queries: DataFrame, skills: DataFrame, k: int = 5) -> DataFrame:
-    """(qid, rank, name, score): BM25 over weighted fields, through an inverted index; ties go to the lesser name."""
-    lib = latest_skills(skills)
+    """(qid, rank, name, score): BM25 over weighted fields of retrievable skills, through an inverted index; ties go to the
+    lesser name."""
+    lib = latest_skills(skills).where(F.col("status").isin(*RETRIEVABLE))
     field = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ") if c == "queries" else F.col(c)
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(field(c), F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0))
     terms = lib.select("name", F.inline(F.array(*(F.struct(F.lit(w).alias("w"), words(c).alias("t")) for c, w in BM25_WEIGHTS.items())))).select("name", "w", F.explode("t").alias("term"))
@@ -152,38 +156,46 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = EMBED_TOP, least: float = EMBED_THRESHOLD, block: int = 2000) -> DataFrame:
     """(qid, rank, id, cosine): the ``k`` nearest of all vectors for a stated set of queries, exactly.
 
-    Queries (qid, v) are unit-normalised, cut into blocks of ``block`` and packed, one row a block; each vector (id, v)
-    meets each block and keeps only pairs that pass ``least``. Ties go to the lesser id. A query isn't its own answer.
+    Queries (qid, v) and vectors (id, v) are packed into blocks of about ``block`` rows; each pair of blocks is one row for
+    Python, so a vector travels once a block of queries and is multiplied with all of them. Only the ``k`` best of a query
+    within a pair that reach ``least`` leave it. Ties go to the lesser id. A query isn't its own answer. Vectors of
+    different lengths never meet; null and empty ones have no neighbours.
     """
-    packed = queries.where(F.col("qid").isNotNull() & F.col("v").isNotNull()).select((F.pmod(F.xxhash64("qid"), F.lit(1 << 20))).alias("h"), F.struct("qid", "v").alias("q"))
-    n = packed.count()
-    blocks = max(1, -(-n // block))
-    packed = packed.groupBy(F.pmod("h", F.lit(blocks)).alias("b")).agg(F.collect_list("q").alias("qs"))  # at most about ``block`` rows each
-    met = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b")).join(packed.withColumn("b", F.col("b").cast("bigint")), "b")
+    usable = lambda d, c: d.where(F.col(c).isNotNull() & (F.size("v") > 0)).select(c, "v")
+    kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    same, salts = kinds[0] == kinds[1], 16
+
+    def packed(d: DataFrame, c: str, at: str, rows: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-d.count() // block))
+        hashed = d.groupBy(F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(at), F.size("v").alias("dim"))
+        return hashed.agg(F.collect_list(F.struct(F.col(c).alias("k"), "v")).alias(rows)), n  # about ``block`` rows
+
+    (q, blocks), (x, _) = packed(usable(queries, "qid"), "qid", "b", "qs"), packed(usable(vectors, "id"), "id", "c", "xs")
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    x = x.withColumns({"salt": F.pmod("c", F.lit(salts)), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    met = q.join(x, ["b", "dim", "salt"]).select("qs", "xs")
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
         unit = lambda rows: (x := np.stack(rows).astype(np.float64)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        none = pd.DataFrame({"qid": [], "id": [], "cosine": []})
         for p in batches:
-            out = []
-            for _, g in p.groupby("b"):
-                qs = g["qs"].iloc[0]
-                by: dict[int, list[int]] = {}
-                for i, q in enumerate(qs):
-                    by.setdefault(len(q["v"]), []).append(i)
-                size = g["v"].map(len)
-                for d, at in by.items():
-                    some = g[size == d]
-                    if d and len(some):
-                        c = unit([qs[i]["v"] for i in at]) @ unit(list(some["v"])).T
-                        r, s = np.nonzero(c >= least - 1e-12)
-                        ids = np.array([qs[i]["qid"] for i in at])
-                        out.append(pd.DataFrame({"qid": ids[r], "id": some["id"].to_numpy()[s], "cosine": c[r, s]}))
-            yield pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "cosine": []}).astype({"qid": "int64", "id": "int64"})
-
-    near = met.mapInPandas(run, "qid long, id long, cosine double").where("qid <> id")
+            out = [none]
+            for qs, xs in zip(p["qs"], p["xs"], strict=True):
+                qid, ids = (np.array([r["k"] for r in rows], object) for rows in (qs, xs))
+                c = unit([r["v"] for r in qs]) @ unit([r["v"] for r in xs]).T
+                if same:
+                    c[qid[:, None] == ids] = -2
+                for i in np.flatnonzero(c.max(1) >= least - 1e-12):
+                    near = np.flatnonzero(c[i] >= least - 1e-12)
+                    if len(near) > k:  # those that tie with the last one stay
+                        near = near[c[i, near] >= np.partition(c[i, near], -k)[-k] - 1e-9]
+                    out.append(pd.DataFrame({"qid": qid[i], "id": ids[near], "cosine": c[i, near]}))
+            yield pd.concat(out) if len(out) > 1 else none
+
+    near = met.mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, cosine double")
     top = Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 9)), "id")
     return near.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("qid", "rank", "id", "cosine")
 
@@ -198,18 +210,81 @@ def hybrid(lexical: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", F.col("fused").alias("score"))
 
 
-def chunk_score(tokens: Column, title: Column, category: Column, keywords: Column, text: Column) -> Column:
-    """3 for each token shared with the title, 2 with the category, 2 for each keyword phrase in the text, else 1 for a
-    phrase of several words of which at most one is missing."""
-    word = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != ""))
-    low = F.lower(F.coalesce(text, F.lit("")))
+def facts_of(kept: DataFrame) -> DataFrame:
+    """(name, anchor_terms, phrases, bars, authoring): what the gates ask of a skill; ``kept`` is one row a skill."""
+    empty = F.array().cast("array<string>")
+    joined = lambda c: F.array_join(F.coalesce(c, empty), " ")
+    anchors = facet_terms(F.concat_ws(" ", F.regexp_replace("name", "-", " "), joined("applies_when")))
+    d = kept.select("name", anchors.alias("anchor_terms"), F.transform(F.coalesce("queries", empty), query_terms).alias("phrases"), facet_terms(joined("not_for")).alias("not"), F.concat_ws(" ", F.regexp_replace("name", "-", " "), F.array_join("applies_when", " ")).rlike(AUTHORING).alias("authoring"))
+    return d.select("name", "anchor_terms", "phrases", F.array_except("not", "anchor_terms").alias("bars"), F.coalesce("authoring", F.lit(False)).alias("authoring"))
+
+
+def phrase_share(phrases: Column, words: Column) -> Column:
+    """The best share of a phrase's terms among ``words``, of phrases of two terms with two shared or a share of 0.6; else 0."""
+
+    def one(p: Column) -> Column:
+        both = F.size(F.array_intersect(p, words))
+        return F.when((F.size(p) >= 2) & ((both >= 2) | (both / F.size(p) >= 0.6)), both / F.size(p)).otherwise(0.0)
+
+    return F.coalesce(F.array_max(F.transform(phrases, one)), F.lit(0.0))
+
+
+def precision_gate(candidates: DataFrame, queries: DataFrame, skills: DataFrame, strong: float = EMBED_STRONG) -> DataFrame:
+    """``candidates`` (qid, name, cosine) that a vector alone may bring: the query asks for a task, or for authoring of a
+    skill about that; the cosine is ``strong``, or an anchor or a phrase is met (or the skill has no anchor); and no word
+    stands against it. ``queries``: qid, text; ``skills`` is one row a skill."""
+    asked = queries.select("qid", facet_terms(F.col("text")).alias("terms"), query_terms(F.col("text")).alias("words"), intent(F.col("text")).alias("intent"))
+    d = candidates.join(asked, "qid").join(facts_of(skills), "name")
+    near = (F.col("cosine") >= strong) | (phrase_share(F.col("phrases"), F.col("words")) >= QUERY_THRESHOLD) | (F.size("anchor_terms") == 0) | F.arrays_overlap("anchor_terms", "terms")
+    ok = F.col("intent").isin("task", "create") & ((F.col("intent") != "create") | F.col("authoring")) & near & ~F.arrays_overlap("bars", "terms")
+    return d.where(F.coalesce(ok, F.lit(False))).select("qid", "name", "cosine")
+
+
+def hybrid_recall(queries: DataFrame, vectors: DataFrame, skills: DataFrame, k: int = 3, least: float = EMBED_THRESHOLD, strong: float = EMBED_STRONG) -> DataFrame:
+    """(qid, rank, name, score): lexical hits and the nearest skills by vector, fused; those that only a vector brings pass
+    the precision gate first. ``queries``: qid, text; ``vectors``: qid, v; skills with a vector of that length take part."""
+    kept = latest_skills(skills).where(F.col("status").isin(*RETRIEVABLE))
+    near = cosine_topk(vectors, kept.select(F.col("name").alias("id"), F.col("embedding").alias("v")).where(F.size("v") > 0), EMBED_TOP, least)
+    near = near.select("qid", F.col("id").alias("name"), "cosine")
+    lexical = coverage(queries, skills, 1 << 30)
+    lexical = stage(lexical.select("qid", "name", "score"), "lexical")
+    alone = precision_gate(near.join(lexical, ["qid", "name"], "left_anti"), queries, kept, strong)
+    known = near.join(lexical, ["qid", "name"], "left_semi")
+    fused = hybrid(lexical.withColumnRenamed("name", "id"), known.unionByName(alone).withColumnRenamed("name", "id"), k)
+    return fused.withColumnRenamed("id", "name")
+
+
+def duplicates_of(lessons: DataFrame, skills: DataFrame, least: float = DUPLICATE) -> DataFrame:
+    """(id, name, score): the skill that covers a lesson's situation: the greatest of the share of its anchors in the
+    lesson's terms and of its best phrase, where an anchor is shared and the score is ``least`` or more; ties go to the lesser
+    name. ``lessons``: id, triggers, rule; ``skills``: one row a skill, of any status."""
+    probe = F.concat_ws(" ", F.array_join(F.coalesce("triggers", F.array().cast("array<string>")), " "), F.coalesce("rule", F.lit("")))
+    asked = lessons.select("id", facet_terms(probe).alias("terms"), query_terms(probe).alias("words"))
+    own = facts_of(skills)
+    index = own.select("name", F.size("anchor_terms").alias("anchors"), F.explode("anchor_terms").alias("term"))
+    met = asked.select("id", F.explode("terms").alias("term")).join(index, "term").groupBy("id", "name", "anchors").agg(F.count("*").alias("met"))
+    phrases = best_phrases(asked.select(F.col("id").alias("qid"), "words"), own.select("name", F.posexplode("phrases").alias("at", "terms"))).withColumnRenamed("qid", "id")
+    score = F.greatest(F.col("met") / F.col("anchors"), F.coalesce("phrase", F.lit(0.0)))
+    d = met.join(phrases, ["id", "name"], "left").select("id", "name", score.alias("score")).where(F.col("score") >= least)
+    best = d.groupBy("id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "name", "score")).alias("b"))
+    return best.select("id", "b.name", "b.score")
+
+
+def _words(c: Column, drop: tuple[str, ...] = ()) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: (w != "") & ~w.isin(*drop, "")))
+
+
+def chunk_score(text: Column, title: Column, category: Column, keywords: Column) -> Column:
+    """3 for each word shared with the title, 2 with the category, 2 for each keyword that stands in the text, and 1 more
+    for each of several words of which at most one is missing. Empty words don't count; null texts and lists are empty."""
+    low, tokens = F.lower(F.coalesce(text, F.lit(""))), _words(text, QUERY_DROP)
 
     def one(total: Column, k: Column) -> Column:
-        parts = word(k)
+        parts = _words(k, KEYWORD_DROP)
         near = (F.size(parts) > 1) & (F.size(F.array_intersect(parts, tokens)) >= F.greatest(F.lit(1), F.size(parts) - 1))
-        return total + F.when(F.contains(low, F.lower(k)) & (k != ""), 2).when(near, 1).otherwise(0)
+        return total + F.when(F.contains(low, F.lower(k)) & (k != ""), 2).otherwise(0) + F.when(near, 1).otherwise(0)
 
-    return 3 * F.size(F.array_intersect(word(title), tokens)) + 2 * F.size(F.array_intersect(word(category), tokens)) + F.aggregate(F.coalesce(keywords, F.array().cast("array<string>")), F.lit(0), one)
+    return 3 * F.size(F.array_intersect(_words(title), tokens)) + 2 * F.size(F.array_intersect(_words(category), tokens)) + F.aggregate(F.coalesce(keywords, F.array().cast("array<string>")), F.lit(0), one)
 
 
 def related_lessons(queries: DataFrame, lessons: DataFrame, k: int = 4, shared: int = 3) -> DataFrame:
@@ -230,14 +305,18 @@ def chunk_topk(queries: DataFrame, chunks: DataFrame, k: int = 6, fallback: int
     """(qid, rank, chunk, score): the ``k`` best chunks of each query; a query without any gets the first ``fallback``.
 
     ``queries``: qid, text; ``chunks``: chunk, title, category, keywords. Chunks are met through an index of the words of
-    title, category and keywords. Ties go to the lesser chunk; the first chunks are those with the least names.
+    title, category and keywords, and of the first three characters of keywords (a keyword that stands in a text begins with
+    three characters of it). Ties go to the lesser chunk; the first chunks are those with the least names.
     """
-    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != ""))
-    asked = queries.where(F.col("qid").isNotNull()).select("qid", "text", split(F.col("text")).alias("tokens"))
-    own = chunks.where(F.col("chunk").isNotNull()).select("chunk", "title", "category", "keywords")
-    index = own.select("chunk", F.explode(split(F.concat_ws(" ", "title", "category", F.array_join("keywords", " ")))).alias("word"))
-    met = asked.select("qid", F.explode("tokens").alias("word")).join(index, "word").select("qid", "chunk").distinct()
-    scored = met.join(asked, "qid").join(own, "chunk").select("qid", "chunk", chunk_score(F.col("tokens"), F.col("title"), F.col("category"), F.col("keywords"), F.col("text")).alias("score")).where("score > 0")
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    grams = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.concat(F.lit("="), F.substring(low, i, n)))))
+    asked = queries.where(F.col("qid").isNotNull()).select("qid", "text", F.array_union(_words(F.col("text"), QUERY_DROP), F.array_distinct(grams)).alias("keys"))
+    own = chunks.where(F.col("chunk").isNotNull()).select("chunk", "title", "category", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    heads = F.transform(F.filter("keywords", lambda x: x != ""), lambda x: F.concat(F.lit("="), F.left(F.lower(x), F.lit(3))))
+    index = own.select("chunk", F.explode(F.array_union(_words(F.concat_ws(" ", "title", "category", F.array_join("keywords", " "))), heads)).alias("key"))
+    met = asked.select("qid", F.explode("keys").alias("key")).join(index, "key").select("qid", "chunk").distinct()
+    scored = met.join(asked.select("qid", "text"), "qid").join(own, "chunk").select("qid", "chunk", chunk_score(F.col("text"), F.col("title"), F.col("category"), F.col("keywords")).alias("score")).where("score > 0")
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= k)
     first = own.select("chunk").distinct().orderBy("chunk").limit(fallback).withColumn("rank", F.row_number().over(Window.orderBy("chunk")))  # ``fallback`` rows
     rest = asked.select("qid").join(top.select("qid").distinct(), "qid", "left_anti").withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(fallback))))

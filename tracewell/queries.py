@@ -272,7 +272,7 @@ def body_bullets(spark, sf_dir):
     return playbook.bullets(_skills(spark, sf_dir))
 
 
-@query(f"WITH {BULLETS} SELECT name, (5 - count(DISTINCT section))::BIGINT AS missing, coalesce(bool_or(section = 'verification' AND contains(content, '`')), false) AS concrete FROM bu GROUP BY name")
+@query(f"WITH {BULLETS} SELECT name, (5 - count(DISTINCT section))::BIGINT AS missing, coalesce(bool_or(section = 'verification' AND (contains(content, '`') OR regexp_matches(content, {_lit(playbook.OBSERVABLE)}))), false) AS concrete FROM bu GROUP BY name")
 def body_shape(spark, sf_dir):
     """Sections that each body lacks, and whether its verification names something concrete."""
     return playbook.shape(playbook.bullets(_skills(spark, sf_dir))).select("name", F.size("missing").cast("bigint").alias("missing"), "concrete")
@@ -314,7 +314,7 @@ def near_descriptions(spark, sf_dir):
 
 _J = lambda c: f"array_to_string(coalesce({c}, []), ' ')"
 PROFILE = f"""{SKILLS}, lib AS (SELECT * FROM ls WHERE status IN ('active', 'candidate')),
-pf AS (SELECT name, 3 AS w, unnest({FACET('name')}) AS term FROM lib UNION ALL SELECT name, 3, unnest({FACET(_J('applies_when'))}) FROM lib UNION ALL SELECT name, 2, unnest({FACET(_J('queries'))}) FROM lib UNION ALL SELECT name, 2, unnest({FACET(_J('symptoms'))}) FROM lib UNION ALL SELECT name, 1, unnest({FACET('description')}) FROM lib),
+pf AS (SELECT name, 3 AS w, unnest({FACET("replace(name, '-', ' ')")}) AS term FROM lib UNION ALL SELECT name, 3, unnest({FACET(_J('applies_when'))}) FROM lib UNION ALL SELECT name, 2, unnest({FACET(_J('queries'))}) FROM lib UNION ALL SELECT name, 2, unnest({FACET(_J('symptoms'))}) FROM lib UNION ALL SELECT name, 1, unnest({FACET('description')}) FROM lib),
 px AS (SELECT name, term, max(w)::INTEGER AS weight FROM pf GROUP BY ALL)"""
 
 
@@ -360,7 +360,7 @@ def error_recall(spark, sf_dir):
     return retrieval.coverage(asked, table(spark, sf_dir, "skills"), error=True)
 
 
-_BW = " UNION ALL ".join(f"SELECT name, {w} AS w, unnest(regexp_extract_all(lower(coalesce({_J('queries') if c == 'queries' else c}, '')), '[a-z0-9_]{{3,}}')) AS term FROM ls" for c, w in retrieval.BM25_WEIGHTS.items())
+_BW = " UNION ALL ".join(f"SELECT name, {w} AS w, unnest(regexp_extract_all(lower(coalesce({_J('queries') if c == 'queries' else c}, '')), '[a-z0-9_]{{3,}}')  ) AS term FROM ls WHERE status IN ('active', 'candidate')" for c, w in retrieval.BM25_WEIGHTS.items())
 
 
 @query(f"""WITH {SKILLS}, te AS ({_BW}), tf AS (SELECT name, term, sum(w) AS tf FROM te GROUP BY ALL), sz AS (SELECT name, sum(tf) AS len FROM tf GROUP BY name), sh AS (SELECT avg(len) AS mean, count(*) AS n FROM sz), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -402,12 +402,13 @@ def related_lessons(spark, sf_dir):
     return retrieval.related_lessons(d.where(F.conv(F.right("id", F.lit(8)), 16, 10).cast("bigint") % 20 == 0), d)
 
 
-_SP = lambda x: f"list_distinct(list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: w <> ''))"
+_SP = lambda x, drop=(): f"list_distinct(list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9_]+'), lambda w: w <> '' AND NOT list_contains({_q(drop)}::VARCHAR[], w)))"
+_KW = _SP("k", retrieval.KEYWORD_DROP)
 
 
 @query(f"""WITH c AS (SELECT subject AS chunk, replace(subject, '_', ' ') AS title, split_part(about, ',', 1) AS category, list_transform(string_split(about, ','), lambda x: trim(x)) AS keywords FROM subjects),
-q AS (SELECT item_id AS qid, text, {_SP('text')} AS tokens FROM eval_items),
-s AS (SELECT qid, chunk, 3 * len(list_intersect({_SP('title')}, tokens)) + 2 * len(list_intersect({_SP('category')}, tokens)) + list_sum(list_transform(keywords, lambda k: CASE WHEN k <> '' AND contains(lower(text), lower(k)) THEN 2 WHEN len({_SP('k')}) > 1 AND len(list_intersect({_SP('k')}, tokens)) >= greatest(1, len({_SP('k')}) - 1) THEN 1 ELSE 0 END)) AS score FROM q, c),
+q AS (SELECT item_id AS qid, text, {_SP('text', retrieval.QUERY_DROP)} AS tokens FROM eval_items),
+s AS (SELECT qid, chunk, 3 * len(list_intersect({_SP('title')}, tokens)) + 2 * len(list_intersect({_SP('category')}, tokens)) + list_sum(list_transform(keywords, lambda k: CASE WHEN k <> '' AND contains(lower(text), lower(k)) THEN 2 ELSE 0 END + CASE WHEN len({_KW}) > 1 AND len(list_intersect({_KW}, tokens)) >= greatest(1, len({_KW}) - 1) THEN 1 ELSE 0 END)) AS score FROM q, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk) AS rank FROM s WHERE score > 0),
 f AS (SELECT chunk, row_number() OVER (ORDER BY chunk) AS rank FROM c)
 SELECT qid, rank::INTEGER AS rank, chunk, score::INTEGER AS score FROM r WHERE rank <= 6 UNION ALL SELECT qid, f.rank::INTEGER, f.chunk, 0 FROM q, f WHERE f.rank <= 3 AND qid NOT IN (SELECT qid FROM r)""")
