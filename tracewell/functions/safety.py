@@ -33,18 +33,33 @@ INJECTIONS = (
     ("always_run", r"(?i)\b(always|first|before anything)\b.{0,30}\b(run|execute|call|source)\b.{0,40}(\.sh|\.py|curl|wget|base64)"),
 )
 RISKY = r"(?i)https?://|curl|wget|nc |ssh |base64|eval |exec\(|rm -rf|chmod 777|sudo|token|secret|password|\.env"
+MARK = "…[truncated]"
 MAX_STEPS, MAX_CONTENT, MAX_RESULT, MAX_ARGS = 400, 4000, 3000, 2000
 
 
-def redact(text: Column) -> tuple[Column, Column]:
-    """(text without secrets, number of replacements); null stays null with 0. The order of kinds decides overlaps."""
+def _fold(text: Column) -> Column:
     state = F.struct(text.alias("t"), F.lit(0).alias("n"))
     steps = F.array(*(F.struct(F.lit(p).alias("p"), F.lit({"": "", "1": "$1", "12": "$1"}[g] + f"[REDACTED:{k}]" + ("$2" if g == "12" else "")).alias("r")) for k, p, g in REDACTIONS))
     # Folding over the kinds keeps the expression small: each intermediate text is computed once.
-    done = F.aggregate(steps, state, lambda a, s: F.struct(F.regexp_replace(a["t"], s["p"], s["r"]).alias("t"), (a["n"] + F.coalesce(F.regexp_count(a["t"], s["p"]), F.lit(0))).alias("n")))
+    return F.aggregate(steps, state, lambda a, s: F.struct(F.regexp_replace(a["t"], s["p"], s["r"]).alias("t"), (a["n"] + F.coalesce(F.regexp_count(a["t"], s["p"]), F.lit(0))).alias("n")))
+
+
+def redact(text: Column) -> tuple[Column, Column]:
+    """(text without secrets, number of replacements); null stays null with 0. The order of kinds decides overlaps."""
+    done = _fold(text)
     return done["t"], done["n"]
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once a row (an expression within a lambda is computed for each use of it)."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def redact_capped(text: Column, most: int) -> Column:
+    """(t, n, cut): ``text`` without secrets and capped, replacements, and 1 if it was cut; of a null text, null with 0."""
+    return once(_fold(text), lambda r: F.struct(cap(r["t"], most).alias("t"), r["n"].alias("n"), F.coalesce((F.length(r["t"]) > most).cast("int"), F.lit(0)).alias("cut")))
+
+
 def injection_findings(text: Column) -> Column:
     """Findings (kind, match), kinds in order, at most 20 (the report's size)."""
     of = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m.alias("match"))
@@ -54,7 +69,7 @@ def injection_findings(text: Column) -> Column:
 
 def cap(text: Column, most: int) -> Column:
     """``text`` cut to ``most`` characters, with a mark where something went."""
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("...[truncated]"))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(MARK))).otherwise(text)
 
 
 def cap_steps(steps: Column) -> Column:

@@ -57,31 +57,29 @@ def calls_of(traces: DataFrame) -> DataFrame:
 
 
 def compact(traces: DataFrame, most: int = 12000) -> DataFrame:
-    """(id, text): a readable rendering, cut in the middle beyond ``most`` characters."""
-    line = lambda s, i: F.concat(
-        F.when(F.coalesce(s["content"], F.lit("")) != "", F.array(F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.upper(F.coalesce(s["role"], F.lit(""))), F.lit(": "), F.left(s["content"], F.lit(800))))).otherwise(F.array().cast("array<string>")),
-        F.coalesce(F.transform(s["tool_calls"], lambda c: F.concat(F.lit("["), i.cast("string"), F.lit("] TOOL "), F.coalesce(c["name"], F.lit("")), F.lit("("), F.left(F.coalesce(c["args"], F.lit("{}")), F.lit(400)), F.lit(")"), F.when(F.coalesce(c["error"], F.lit("")) != "", F.concat(F.lit("\n      ERROR: "), F.left(c["error"], F.lit(600)))).when(c["result"].isNotNull(), F.concat(F.lit("\n      -> "), F.left(c["result"], F.lit(400)))).otherwise(""))), F.array().cast("array<string>")),
+    """(id, text): a readable rendering with signals and outcome, cut in the middle beyond ``most`` characters."""
+    text = lambda c, n: F.left(F.coalesce(c, F.lit("")), F.lit(n))
+    none = F.array().cast("array<string>")
+
+    def lines(s: Column, i: Column) -> Column:
+        at = F.concat(F.lit("["), i.cast("string"), F.lit("] "))
+        said = F.when(F.coalesce(s["content"], F.lit("")) != "", F.array(F.concat(at, F.upper(F.coalesce(s["role"], F.lit(""))), F.lit(": "), text(s["content"], 800)))).otherwise(none)
+        told = lambda c: F.when(F.coalesce(c["error"], F.lit("")) != "", F.concat(F.lit("\n      ERROR: "), text(c["error"], 600))).when(c["result"].isNotNull(), F.concat(F.lit("\n      -> "), text(c["result"], 400))).otherwise("")
+        calls = F.transform(s["tool_calls"], lambda c: F.concat(at, F.lit("TOOL "), F.coalesce(c["name"], F.lit("")), F.lit("("), text(F.coalesce(c["args"], F.lit("{}")), 400), F.lit(")"), told(c)))
+        return F.concat(said, F.coalesce(calls, none))
+
+    calls, errors = F.coalesce(n_calls(F.col("steps.tool_calls")), F.lit(0)), F.coalesce(n_errors(F.col("steps.tool_calls")), F.lit(0))
+    d = with_outcome(traces.select("id", "task", "agent", "skills_used", "steps", "signals", calls.alias("calls"), errors.alias("errors")))
+    guess, sure = heuristic(F.col("calls"), F.col("errors"))
+    alone = F.concat(F.lit("tool_errors="), guess, F.format_string("(%.2f) ", sure), F.when(F.col("calls") == 0, "no tool calls").otherwise(F.format_string("%d/%d tool calls errored", "errors", "calls")))
+    each = F.transform("signals", lambda s: F.concat(F.coalesce(s["source"], F.lit("")), F.lit("="), F.coalesce(s["outcome"], F.lit("")), F.format_string("(%.2f) ", F.coalesce(s["confidence"], F.lit(0.0))), F.coalesce(s["detail"], F.lit(""))))
+    used = F.when(F.size("skills_used") > 0, F.concat(F.lit("['"), F.array_join("skills_used", "', '"), F.lit("']"))).otherwise("none")
+    parts = F.concat(
+        F.array(F.concat(F.lit("TASK: "), F.coalesce("task", F.lit(""))), F.concat(F.lit("AGENT: "), F.coalesce("agent", F.lit(""))), F.concat(F.lit("SKILLS USED: "), used), F.lit("")),
+        F.coalesce(F.flatten(F.transform("steps", lines)), none),
+        F.array(F.lit(""), F.concat(F.lit("SIGNALS: "), F.when(F.size("signals") > 0, F.array_join(each, "; ")).otherwise(alone)), F.concat(F.lit("OUTCOME: "), F.col("outcome"), F.format_string(" (conf %.2f)", "confidence"))),
     )
-    body = F.array_join(F.coalesce(F.flatten(F.transform("steps", line)), F.array().cast("array<string>")), "\n")
-    text = F.concat_ws("\n", F.concat(F.lit("TASK: "), F.coalesce("task", F.lit(""))), F.concat(F.lit("AGENT: "), F.coalesce("agent", F.lit(""))), F.concat(F.lit("SKILLS USED: "), F.coalesce(F.array_join("skills_used", ", "), F.lit("none"))), F.lit(""), body)
+    whole = F.array_join(parts, "\n")
     half = most // 2
-    return traces.select("id", F.when(F.length(text) > most, F.concat(F.left(text, F.lit(half)), F.lit("\n...[truncated]...\n"), F.right(text, F.lit(half)))).otherwise(text).alias("text"))
-
-
-def from_messages(messages: DataFrame) -> DataFrame:
-    """Chat messages to steps: (conv, pos, role, content, call_id, name, args) calls meet their results by call_id.
-
-    ``messages``: conv, pos, role, content, call_id (of a tool result), tool_calls ARRAY<STRUCT<id, name, arguments>>,
-    is_error. A result goes to the latest earlier call of its id; a result without one becomes a step of its own.
-    """
-    calls = messages.select("conv", "pos", F.posexplode("tool_calls").alias("call_pos", "c")).select("conv", F.col("pos").alias("step"), "call_pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("args"))
-    results = messages.where("role = 'tool'").select("conv", F.col("pos").alias("at"), "call_id", "content", "is_error")
-    met = results.join(calls, ["conv", "call_id"], "left").where("step is null or step < at")
-    last = Window.partitionBy("conv", "at").orderBy(F.desc_nulls_last("step"), F.desc("call_pos"))
-    best = met.withColumn("r", F.row_number().over(last)).where("r = 1")
-    latest = Window.partitionBy("conv", "step", "call_pos").orderBy(F.desc("at"))
-    hit = best.where("step is not null").withColumn("k", F.row_number().over(latest)).where("k = 1").select("conv", "step", "call_pos", F.when(~F.coalesce("is_error", F.lit(False)), F.col("content")).alias("result"), F.when(F.coalesce("is_error", F.lit(False)), F.col("content")).alias("error"))
-    done = calls.join(hit, ["conv", "step", "call_pos"], "left").select("conv", "step", "call_pos", "name", "args", "result", "error")
-    matched = best.where("step is not null").select("conv", "at")
-    orphans = results.join(matched, ["conv", "at"], "left_anti").select("conv", F.col("at").alias("step"), F.lit(-1).alias("call_pos"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("args"), F.col("content").alias("result"), F.lit(None).cast("string").alias("error"))
-    return done.unionByName(orphans)
+    cut = F.concat(F.left("whole", F.lit(half)), F.lit("\n...[truncated]...\n"), F.right("whole", F.lit(half)))
+    return d.select("id", whole.alias("whole")).select("id", F.when(F.length("whole") > most, cut).otherwise(F.col("whole")).alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import safety, text
-from tracewell.operators import lifecycle, playbook, retrieval, sanitize, stats, traces
+from tracewell.operators import lifecycle, normalise, playbook, retrieval, sanitize, stats, traces
 from tracewell.sources.tables import table
 from tracewell.streaming import ingest
 
@@ -137,31 +137,43 @@ def eval_decision(spark, sf_dir):
     return _outcomes(spark, sf_dir).where("eval_id is not null").select("id", "eval_id", ((F.col("outcome") == "success") & (F.col("confidence") >= 0.5)).alias("passed"))
 
 
-@query()
+_F2 = lambda x: f"printf('%.2f', {x})"
+_LINES = """list_transform(steps, lambda s, i: list_concat(CASE WHEN coalesce(s.content, '') <> '' THEN ['[' || (i - 1) || '] ' || upper(coalesce(s.role, '')) || ': ' || left(s.content, 800)] ELSE [] END,
+ list_transform(coalesce(s.tool_calls, []), lambda c: '[' || (i - 1) || '] TOOL ' || coalesce(c.name, '') || '(' || left(coalesce(c.args, '{}'), 400) || ')' || CASE WHEN coalesce(c.error, '') <> '' THEN chr(10) || '      ERROR: ' || left(c.error, 600) WHEN c.result IS NOT NULL THEN chr(10) || '      -> ' || left(c.result, 400) ELSE '' END)))"""
+
+
+@query(f"""WITH {OUTCOME.replace("SELECT id, agent, ts, received,", "SELECT id, task, steps, agent, ts, received,").replace("row_number() OVER (PARTITION BY id ORDER BY received DESC NULLS LAST, coalesce(len(signals), 0) DESC)", "1")},
+t AS (SELECT id, array_to_string(list_concat(['TASK: ' || coalesce(task, ''), 'AGENT: ' || coalesce(agent, ''), 'SKILLS USED: ' || CASE WHEN len(skills_used) > 0 THEN '[' || chr(39) || array_to_string(skills_used, chr(39) || ', ' || chr(39)) || chr(39) || ']' ELSE 'none' END, ''], flatten({_LINES}),
+ ['', 'SIGNALS: ' || CASE WHEN len(signals) > 0 THEN array_to_string(list_transform(signals, lambda s: coalesce(s.source, '') || '=' || coalesce(s.outcome, '') || '(' || {_F2("coalesce(s.confidence, 0.0)")} || ') ' || coalesce(s.detail, '')), '; ')
+  ELSE 'tool_errors=' || guess || '(' || CASE WHEN calls = 0 THEN '0.00' WHEN guess = 'failure' THEN '0.40' WHEN guess = 'success' THEN '0.25' ELSE '0.30' END || ') ' || CASE WHEN calls = 0 THEN 'no tool calls' ELSE errors || '/' || calls || ' tool calls errored' END END,
+  'OUTCOME: ' || outcome || ' (conf ' || {_F2("confidence")} || ')']), chr(10)) AS text FROM oc)
+SELECT DISTINCT id, md5(CASE WHEN len(text) > 12000 THEN left(text, 6000) || chr(10) || '...[truncated]...' || chr(10) || right(text, 6000) ELSE text END) AS digest FROM t""")
 def compact_render(spark, sf_dir):
-    """A readable rendering of each delivery, by its length (no SQL: see tests)."""
-    return traces.compact(_traces(spark, sf_dir)).select("id", F.length("text").alias("chars"), F.xxhash64("text").alias("digest")).distinct()
+    """A readable rendering of each delivery, by its digest."""
+    return traces.compact(_traces(spark, sf_dir).where("id is not null")).select("id", F.md5("text").alias("digest")).distinct()
 
 
 # ---- safety
 
 
 def _redact_sql() -> str:
-    ctes, names = ["st AS (SELECT DISTINCT id, generate_subscripts(steps, 1) - 1 AS step_pos, unnest(steps).content AS t0 FROM traces WHERE id IS NOT NULL)"], []
+    texts = """st0 AS (SELECT id, task, unnest(steps) AS s, generate_subscripts(steps, 1) - 1 AS step_pos FROM traces WHERE id IS NOT NULL),
+st1 AS (SELECT id, step_pos, unnest(s.tool_calls) AS c, generate_subscripts(s.tool_calls, 1) - 1 AS call_pos FROM st0),
+st AS (SELECT DISTINCT id, step_pos, -1 AS call_pos, 'content' AS field, s.content AS t0 FROM st0 UNION SELECT id, step_pos, call_pos, 'result', c.result FROM st1 UNION SELECT id, step_pos, call_pos, 'error', c.error FROM st1 UNION SELECT id, -1, -1, 'task', task FROM traces WHERE id IS NOT NULL)"""
+    ctes, names = [texts], []
     for i, (k, p, g) in enumerate(safety.REDACTIONS):
         new = {"": "", "1": "\\1", "12": "\\1"}[g] + f"[REDACTED:{k}]" + ("\\2" if g == "12" else "")
         before = f"r{i - 1}" if i else "st"
-        ctes.append(f"r{i} AS MATERIALIZED (SELECT id, step_pos, regexp_replace(t0, {_lit(p)}, {_lit(new)}, 'g') AS t0{''.join(', ' + n for n in names)}, len(regexp_extract_all(t0, {_lit(p)})) AS n{i} FROM {before} WHERE t0 IS NOT NULL)")
+        ctes.append(f"r{i} AS MATERIALIZED (SELECT id, step_pos, call_pos, field, regexp_replace(t0, {_lit(p)}, {_lit(new)}, 'g') AS t0{''.join(', ' + n for n in names)}, len(regexp_extract_all(t0, {_lit(p)})) AS n{i} FROM {before} WHERE t0 IS NOT NULL)")
         names.append(f"n{i}")
-    return f"WITH {', '.join(ctes)} SELECT id, step_pos::INTEGER AS step_pos, md5(t0) AS digest, ({' + '.join(names)})::INTEGER AS found FROM r{len(safety.REDACTIONS) - 1} WHERE {' + '.join(names)} > 0"
+    return f"WITH {', '.join(ctes)} SELECT id, step_pos::INTEGER AS step_pos, call_pos::INTEGER AS call_pos, field, md5(t0) AS digest, ({' + '.join(names)})::INTEGER AS found FROM r{len(safety.REDACTIONS) - 1} WHERE {' + '.join(names)} > 0"
 
 
 @query(_redact_sql())
-def redacted_contents(spark, sf_dir):
-    """Step contents in which something was redacted: a digest of what is left, and the number of replacements."""
-    d = _traces(spark, sf_dir).where("id is not null").select("id", F.posexplode("steps.content").alias("step_pos", "t")).where("t is not null").distinct()
-    t, n = safety.redact(F.col("t"))
-    return d.select("id", "step_pos", F.md5(t).alias("digest"), n.alias("found")).where("found > 0")
+def redacted_texts(spark, sf_dir):
+    """Tasks, contents, results and errors in which something was redacted: a digest of what is left, and the number of
+    replacements (arguments are walked as JSON: sanitized_traces)."""
+    return sanitize.redacted_texts(_traces(spark, sf_dir))
 
 
 _PLAIN = [(k, p) for k, p in safety.INJECTIONS if "(?!" not in p]
@@ -201,6 +213,43 @@ def risky_texts(spark, sf_dir):
     return own.unionByName(table(spark, sf_dir, "documents").where(F.col("text").rlike(safety.RISKY)).select(F.col("doc_id").cast("string").alias("key")))
 
 
+# ---- messages
+
+_EXPECT = """ex AS (SELECT DISTINCT id, step_pos, call_pos, coalesce(c.name, '?') AS name, md5(CASE WHEN coalesce(c.args, '') = '' THEN '{}' WHEN json_valid(c.args) THEN c.args ELSE to_json({'raw': c.args})::VARCHAR END) AS args,
+  coalesce(c.error, c.result) AS t, c.error IS NOT NULL OR """ + "(" + " OR ".join(f"contains(lower(left(c.result, 200)), {_lit(m)})" for m in text.ERROR_MARKERS) + ") AS bad FROM ca0)"
+_MESSAGES = f"WITH {CALLS.split(', ca AS')[0] if False else CALLS[: CALLS.rindex('ca AS')].rstrip().rstrip(',')}, {_EXPECT} SELECT id, step_pos::INTEGER AS step_pos, call_pos::INTEGER AS call_pos, name, args, md5(CASE WHEN NOT bad THEN t END) AS result, md5(CASE WHEN bad THEN t END) AS error FROM ex"
+
+
+def _calls_of_steps(d):
+    calls = d.select("id", F.posexplode(F.col("s.tool_calls")).alias("step_pos", "calls")).select("id", "step_pos", F.posexplode("calls").alias("call_pos", "c"))
+    return calls.select("id", "step_pos", "call_pos", "c.name", F.md5("c.args").alias("args"), F.md5("c.result").alias("result"), F.md5("c.error").alias("error")).distinct()
+
+
+def _steps(spark, sf_dir):
+    return _traces(spark, sf_dir).where("id is not null and not coalesce(exists(steps, s -> s is null or coalesce(exists(s.tool_calls, c -> c is null), false)), false)")
+
+
+@query(_MESSAGES)
+def openai_calls(spark, sf_dir):
+    """Tool calls of the traces, written as messages with answers in turns of role tool and normalised again."""
+    return _calls_of_steps(_steps(spark, sf_dir).select("id", normalise.openai_steps(normalise.to_openai(F.col("steps"))).alias("s")))
+
+
+@query(_MESSAGES.replace("CASE WHEN coalesce(c.args, '') = '' THEN '{}' WHEN json_valid(c.args) THEN c.args ELSE to_json({'raw': c.args})::VARCHAR END", "CASE WHEN coalesce(c.args, '') = '' THEN '{}' ELSE c.args END"))
+def anthropic_calls(spark, sf_dir):
+    """Tool calls of the traces, written as messages of content blocks and normalised again."""
+    return _calls_of_steps(_steps(spark, sf_dir).select("id", normalise.anthropic_steps(normalise.to_anthropic(F.col("steps"))).alias("s")))
+
+
+@query("WITH d AS (SELECT DISTINCT id, task, coalesce(len(list_filter(flatten(list_transform(coalesce(steps, []), lambda s: coalesce(s.tool_calls, []))), lambda c: c.result IS NOT NULL OR c.error IS NOT NULL)), 0) > 0 AS told, coalesce(len(list_filter(steps, lambda s: s.role = 'tool' AND coalesce(len(s.tool_calls), 0) = 0)), 0) > 0 AS bare, steps IS NOT NULL AS steps, coalesce(agent, 'unknown') AS agent, ascii(right(coalesce(id, '0'), 1)) % 4 AS kind FROM traces WHERE id IS NOT NULL) SELECT DISTINCT id, CASE WHEN kind = 3 THEN 'not an object' WHEN task IS NULL THEN 'no task' WHEN NOT steps THEN 'no steps or messages' END AS problem, CASE WHEN kind = 3 OR task IS NULL OR NOT steps THEN NULL WHEN kind = 0 THEN 'canonical' WHEN bare OR kind = 1 AND told THEN 'openai' ELSE 'anthropic' END AS format, CASE WHEN NOT (kind = 3 OR task IS NULL OR NOT steps) THEN agent END AS agent FROM d")
+def payload_formats(spark, sf_dir):
+    """Payloads made of the traces (by the last character of their ids: steps, messages of either kind, or broken JSON), normalised: format and problem."""
+    kind = F.pmod(F.ascii(F.right("id", F.lit(1))), F.lit(4))
+    d = _traces(spark, sf_dir).where("id is not null").select("id", "task", "agent", "steps", kind.alias("kind"))
+    payload = F.when(kind == 0, F.to_json(F.struct("task", "agent", "steps"))).when(kind == 1, F.to_json(F.struct("task", "agent", normalise.to_openai(F.col("steps")).alias("messages")))).when(kind == 2, F.to_json(F.struct("task", "agent", normalise.to_anthropic(F.col("steps")).alias("messages"))))
+    return normalise.normalise(d.select("id", F.coalesce(payload, F.lit("[broken")).alias("payload")).withColumnRenamed("id", "key")).select(F.col("key").alias("id"), "problem", "format", "agent").distinct()
+
+
 # ---- text
 
 
@@ -293,14 +342,35 @@ def bullet_feedback(spark, sf_dir):
     return playbook.feedback(_traces(spark, sf_dir).where("id is not null").select("id", "bullets_helpful", "bullets_harmful").distinct())
 
 
-@query()
+_ALIKE = "least(len(k.t), len(x[1].t)) > 0 AND len(list_intersect(k.t, x[1].t)) / least(len(k.t), len(x[1].t)) >= 0.85"
+
+
+@query(f"""WITH {BULLETS}, tr AS (SELECT DISTINCT id, bullets_helpful AS h, bullets_harmful AS m FROM traces WHERE id IS NOT NULL), fb AS (SELECT bullet, sum(a)::BIGINT AS helpful, sum(b)::BIGINT AS harmful FROM (SELECT unnest(h) AS bullet, 1 AS a, 0 AS b FROM tr UNION ALL SELECT unnest(m), 0, 1 FROM tr) GROUP BY bullet),
+rows AS (SELECT name, pos, section, content, coalesce(helpful, 0) AS helpful, coalesce(harmful, 0) AS harmful, {_TOK('content')} AS t FROM bu LEFT JOIN fb USING (bullet)),
+li AS (SELECT name, list([{{'pos': pos, 'section': section, 'content': content, 'helpful': helpful, 'harmful': harmful, 't': t}}] ORDER BY pos) AS l FROM rows WHERE NOT (harmful >= 3 AND harmful > helpful) GROUP BY name),
+fo AS (SELECT name, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.section = x[1].section AND {_ALIKE})) > 0
+  THEN list_transform(acc, lambda k, i: {{'pos': k.pos, 'section': k.section, 'content': k.content, 'helpful': k.helpful + CASE WHEN i = list_position(list_transform(acc, lambda k: k.section = x[1].section AND {_ALIKE}), true) THEN x[1].helpful ELSE 0 END, 'harmful': k.harmful + CASE WHEN i = list_position(list_transform(acc, lambda k: k.section = x[1].section AND {_ALIKE}), true) THEN x[1].harmful ELSE 0 END, 't': k.t}})
+  ELSE list_concat(acc, x) END) AS kept FROM li),
+un AS (SELECT name, unnest(kept) AS k FROM fo), ra AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k.section IN ('verification', 'scope limits') DESC, k.helpful - k.harmful DESC, k.pos DESC) AS place FROM un)
+SELECT name, k.pos AS pos, k.section AS section, k.content AS content, k.helpful AS helpful, k.harmful AS harmful FROM ra WHERE place <= 60""")
 def refined_bullets(spark, sf_dir):
-    """Bullets of every skill after pruning, merging and capping (an ordered fold; see tests)."""
+    """Bullets of every skill after pruning, merging and capping."""
     b = playbook.bullets(_skills(spark, sf_dir))
     f = bullet_feedback(spark, sf_dir)
     return playbook.refine(b.join(f, "bullet", "left").select("name", "pos", "section", "content", F.coalesce("helpful", F.lit(0)).alias("helpful"), F.coalesce("harmful", F.lit(0)).alias("harmful")))
 
 
+@query(f"""WITH {BULLETS}, {LESSONS}, tt AS (SELECT name, section, pos, {_TOK('content')} AS t FROM bu), op AS (SELECT skill_ref AS name, row_number() OVER (PARTITION BY skill_ref ORDER BY ts, id) AS seq, trim(coalesce(rule, '')) AS content FROM le WHERE skill_ref IS NOT NULL),
+st AS (SELECT name, list({{'s': section, 'c': '', 't': t, 'n': 0}} ORDER BY pos) AS l FROM tt GROUP BY name), oo AS (SELECT name, list([{{'s': 'procedure', 'c': content, 't': {_TOK('content')}, 'n': 1}}] ORDER BY seq) AS o, count(*) AS n FROM op WHERE content <> '' GROUP BY name),
+j AS (SELECT name, coalesce(l, []) AS l, o, coalesce(oo.n, 0) AS n FROM st FULL JOIN (SELECT DISTINCT name FROM op) USING (name) LEFT JOIN oo USING (name)),
+f AS (SELECT name, n, len(l) AS had, CASE WHEN o IS NULL THEN l ELSE list_reduce(list_concat([l], o), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.s = 'procedure' AND {_ALIKE})) > 0 THEN acc ELSE list_concat(acc, x) END) END AS r FROM j)
+SELECT name, len(r)::INTEGER AS bullets, (len(r) - had)::INTEGER AS added, (n - (len(r) - had))::INTEGER AS deduped FROM f""")
+def delta_applied(spark, sf_dir):
+    """Each skill's bullets after its lessons were added in order of time: how many there are, were added, or were there already."""
+    rules = _lessons(spark, sf_dir).where("skill_ref is not null").select(F.col("skill_ref").alias("name"), F.row_number().over(Window.partitionBy("skill_ref").orderBy("ts", "id")).alias("seq"), F.lit("ADD").alias("type"), F.lit(None).cast("string").alias("bullet"), F.lit("procedure").alias("section"), F.col("rule").alias("content"))
+    return playbook.apply_delta(playbook.bullets(_skills(spark, sf_dir)), rules).select("name", F.size("bullets").alias("bullets"), "added", "deduped")
+
+
 _LONG = "list_distinct(list_filter(string_split_regex(lower(coalesce(description, '')), '\\s+'), lambda w: len(w) > 5))"
 
 
@@ -438,27 +508,37 @@ def lesson_for_trace(spark, sf_dir):
 
 @query()
 def sanitized_traces(spark, sf_dir):
-    """Traces after redaction and caps, by their characters and a digest (whole traces; see tests)."""
+    """Traces after redaction and caps: what was redacted, cut and dropped, and the length of the JSON of the steps (an
+    ordered cap over whole traces, arguments walked as JSON: see tests)."""
     d = sanitize.sanitize(_traces(spark, sf_dir).where("id is not null"))
-    return d.select("id", sanitize.total_chars(F.col("steps")).alias("chars"), F.xxhash64(F.to_json(F.struct("steps"))).alias("digest")).distinct()
+    return d.select("id", "redacted", "truncated", "steps_dropped", F.length(F.to_json("steps")).alias("chars"), F.md5(F.to_json(F.struct("task", "steps"))).alias("digest")).distinct()
 
 
-@query(f"""WITH RECURSIVE {OUTCOME}, u AS (SELECT DISTINCT unnest(skills_used) AS name, ts, id, outcome FROM oc), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, id) AS k FROM u WHERE name IS NOT NULL AND ts IS NOT NULL),
-f AS (SELECT name, 0::BIGINT AS k, 0::BIGINT AS uses, 0::BIGINT AS successes, 0::BIGINT AS failures, 'candidate' AS status FROM (SELECT DISTINCT name FROM o) UNION ALL
+@query(f"""WITH RECURSIVE {OUTCOME}, {SKILLS}, u AS (SELECT DISTINCT unnest(skills_used) AS name, ts, id, outcome FROM oc), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, id) AS k FROM u WHERE name IN (SELECT name FROM ls) AND ts IS NOT NULL),
+f AS (SELECT name, 0::BIGINT AS k, coalesce(uses, 0)::BIGINT AS uses, coalesce(successes, 0)::BIGINT AS successes, coalesce(failures, 0)::BIGINT AS failures, status FROM ls WHERE name IN (SELECT name FROM o) UNION ALL
  SELECT name, k, uses, successes, failures, CASE WHEN s1 = 'active' AND uses >= 4 AND successes / uses < 0.4 THEN 'quarantine' ELSE s1 END FROM (SELECT f.name, o.k, f.uses + 1 AS uses, f.successes + (o.outcome = 'success')::BIGINT AS successes, f.failures + (o.outcome = 'failure')::BIGINT AS failures, CASE WHEN f.status = 'candidate' AND f.successes + (o.outcome = 'success')::BIGINT >= 1 THEN 'active' ELSE f.status END AS s1 FROM f JOIN o ON o.name = f.name AND o.k = f.k + 1))
 SELECT name, uses, successes, failures, status FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k DESC) AS r FROM f) WHERE r = 1""")
 def usage_fold(spark, sf_dir):
-    """Counters and status of each used skill after replaying all traces in order."""
+    """Counters and status of each used skill of the library after replaying all traces in order; all count as cleared."""
     u = _outcomes(spark, sf_dir).select(F.explode("skills_used").alias("name"), "ts", "id", "outcome").distinct()
-    return lifecycle.usage_fold(u)
+    return lifecycle.usage_fold(u, _skills(spark, sf_dir).withColumn("cleared", F.lit(True)))
 
 
 _NOW = 1775000000.0
 
 
-@query(f"WITH {SKILLS}, a AS (SELECT name, uses, coalesce(CASE WHEN uses > 0 THEN successes / uses END, 0.0) AS rate, coalesce(({_NOW} - CASE WHEN coalesce(last_used, 0) > 0 THEN last_used ELSE created END) / 86400 > 60, false) AND coalesce(uses, 0) = 0 AS old FROM ls WHERE status = 'active'), r AS (SELECT *, row_number() OVER (ORDER BY rate DESC, uses DESC NULLS LAST, name DESC) AS place FROM a WHERE NOT old) SELECT name, 'retire' AS action FROM a WHERE old UNION ALL SELECT name, 'quarantine' FROM r WHERE place > 60")
+_CURATE = lambda most: f"WITH {SKILLS}, a AS (SELECT name, uses, coalesce(CASE WHEN uses > 0 THEN successes / uses END, 0.0) AS rate, coalesce(({_NOW} - CASE WHEN coalesce(last_used, 0) > 0 THEN last_used ELSE created END) / 86400 > 60, false) AND coalesce(uses, 0) = 0 AS old FROM ls WHERE status = 'active'), r AS (SELECT *, row_number() OVER (ORDER BY rate DESC, uses DESC NULLS LAST, name DESC) AS place FROM a WHERE NOT old) SELECT name, 'retire' AS action FROM a WHERE old UNION ALL SELECT name, 'quarantine' FROM r WHERE place > {most}"
+
+
+@query(_CURATE(lifecycle.MAX_ACTIVE))
 def curated(spark, sf_dir):
-    """Active skills to retire as of a fixed day, or to quarantine beyond the 60 best (the library's cap)."""
+    """Active skills to retire as of a fixed day, or to quarantine beyond the 200 best (the library's cap)."""
+    return lifecycle.curate(_skills(spark, sf_dir), F.lit(_NOW))
+
+
+@query(_CURATE(60))
+def curated_small(spark, sf_dir):
+    """The same for a library of at most 60 active skills, so that the cap acts on small tables as well."""
     return lifecycle.curate(_skills(spark, sf_dir), F.lit(_NOW), 60)
 
 
@@ -475,17 +555,40 @@ def deliveries_scd2(spark, sf_dir):
     return lifecycle.scd2(d, "id", "received", ["agent"]).select("id", "agent", "version", "valid_from", "valid_to", "current")
 
 
-@query(f"WITH {CALLS}, {LESSONS}, fe AS (SELECT DISTINCT id, step_pos FROM ca WHERE error <> ''), ev AS (SELECT id, trace_id, unnest(evidence_steps) AS step FROM le), ci AS (SELECT DISTINCT ev.id FROM ev JOIN fe ON fe.id = ev.trace_id AND fe.step_pos = ev.step) SELECT le.id, ci.id IS NOT NULL AS cited, round(CASE WHEN coalesce(len(evidence_steps), 0) = 0 AND coalesce(outcome, '') <> 'success' THEN least(coalesce(confidence, 0.0), 0.35) WHEN ci.id IS NOT NULL THEN least(coalesce(confidence, 0.0), 0.75) ELSE coalesce(confidence, 0.0) END, 9)::DOUBLE AS cap FROM le LEFT JOIN ci USING (id)")
+@query(f"WITH {CALLS}, {LESSONS}, fe AS (SELECT DISTINCT id, step_pos FROM ca WHERE error <> ''), ev AS (SELECT id, trace_id, unnest(evidence_steps) AS step FROM le), ci AS (SELECT DISTINCT ev.id FROM ev JOIN fe ON fe.id = ev.trace_id AND fe.step_pos = ev.step), f AS (SELECT le.id, ci.id IS NOT NULL AS cited, CASE WHEN coalesce(len(evidence_steps), 0) = 0 AND coalesce(outcome <> 'success', true) AND NOT starts_with(lower(trim(coalesce(root_cause, ''))), 'undetermined') THEN least(coalesce(confidence, 0.0), 0.35) ELSE coalesce(confidence, 0.0) END AS c FROM le LEFT JOIN ci USING (id)) SELECT id, cited, round(CASE WHEN cited THEN least(c, 0.75) ELSE c END, 9)::DOUBLE AS cap FROM f")
 def lesson_grounding(spark, sf_dir):
     """Whether lessons cite a failed step, and the confidence that is left to them."""
     return lifecycle.grounding(_lessons(spark, sf_dir), traces.calls_of(_traces(spark, sf_dir))).withColumn("cap", F.round("cap", 9))
 
 
-@query(f"WITH {OUTCOME}, {LESSONS} SELECT le.id, CASE WHEN oc.id IS NULL THEN 'orphan' WHEN calls < 2 AND oc.outcome <> 'failure' THEN 'trivial' WHEN coalesce(le.confidence, 0.0) < 0.4 THEN 'low confidence' WHEN skill_ref IS NOT NULL THEN 'patch' WHEN coalesce(le.confidence, 0.0) >= 0.8 THEN 'create' ELSE 'single evidence' END AS decision FROM le LEFT JOIN oc ON oc.id = le.trace_id")
+_PROBE = "concat_ws(' ', array_to_string(coalesce(triggers, []), ' '), coalesce(rule, ''))"
+DUPLICATES = f"""pr AS (SELECT id, {FACET(_PROBE)} AS terms, {QUERY(_PROBE)} AS words FROM le),
+fs AS (SELECT name, {FACET("concat_ws(' ', replace(name, '-', ' '), array_to_string(coalesce(applies_when, []), ' '))")} AS anchors, queries FROM ls),
+fq AS (SELECT name, {QUERY('p')} AS pt FROM (SELECT name, unnest(queries) AS p FROM fs)),
+pp AS (SELECT id, name, max(len(list_intersect(pt, words)) / len(pt)) AS phrase FROM pr, fq WHERE len(pt) >= 2 AND (len(list_intersect(pt, words)) >= 2 OR len(list_intersect(pt, words)) / len(pt) >= 0.6) GROUP BY ALL),
+du AS (SELECT id, name, greatest(len(list_intersect(anchors, terms)) / len(anchors), coalesce(phrase, 0.0)) AS score FROM pr JOIN fs ON list_has_any(anchors, terms) LEFT JOIN pp USING (id, name)),
+dd AS (SELECT id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, name) AS nth FROM du WHERE score >= 0.75) WHERE nth = 1)"""
+
+
+@query(f"WITH {SKILLS}, {LESSONS}, {DUPLICATES} SELECT id, name, round(score, 6)::DOUBLE AS score FROM dd")
+def lesson_duplicates(spark, sf_dir):
+    """The skill that covers each lesson's situation already."""
+    return retrieval.duplicates_of(_lessons(spark, sf_dir), _skills(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {OUTCOME}, {SKILLS}, {LESSONS}, {DUPLICATES}, w AS (SELECT id, coalesce(generalizable, false) AS g, {_DW} AS w FROM le), re AS (SELECT DISTINCT a.id FROM w a JOIN w b ON a.id <> b.id AND b.g AND len(list_intersect(a.w, b.w)) >= 3),
+sz AS (SELECT count(*) FILTER (WHERE status IN ('active', 'candidate')) AS size FROM ls), tr AS (SELECT DISTINCT unnest(skills_used) AS name FROM oc WHERE eval_id IS NOT NULL),
+x AS (SELECT le.*, oc.id AS tid, oc.eval_id, oc.calls, oc.outcome AS o, CASE WHEN bl.name IS NOT NULL THEN bl.name ELSE dd.name END AS name, sz.size FROM le LEFT JOIN oc ON oc.id = le.trace_id LEFT JOIN ls bl ON bl.name = le.skill_ref AND le.blame IN ('skill_wrong', 'skill_incomplete', 'skill_misapplied') LEFT JOIN dd ON dd.id = le.id, sz),
+y AS (SELECT x.*, ls.status, coalesce(list_contains(ls.provenance, x.trace_id), false) AS mine, tr.name IS NOT NULL AS tried, re.id IS NOT NULL AS related FROM x LEFT JOIN ls ON ls.name = x.name LEFT JOIN tr ON tr.name = x.name LEFT JOIN re ON re.id = x.id)
+SELECT id, name, CASE WHEN tid IS NULL THEN 'orphan' WHEN eval_id IS NOT NULL THEN 'eval run' WHEN calls < 2 AND o <> 'failure' THEN 'trivial' WHEN o = 'unknown' THEN 'unknown outcome' WHEN NOT coalesce(generalizable, false) THEN 'not general' WHEN coalesce(confidence, 0.0) < CASE WHEN size < 12 THEN 0.3 ELSE 0.4 END THEN 'low confidence'
+ WHEN mine AND status IN ('active', 'candidate') THEN 'contributed' WHEN mine AND status = 'quarantine' AND NOT tried THEN 'resume' WHEN name IS NULL AND NOT related AND coalesce(confidence, 0.0) < CASE WHEN size < 12 THEN 0.5 ELSE 0.8 END THEN 'single evidence' WHEN name IS NOT NULL THEN 'patch' ELSE 'create' END AS decision FROM y""")
 def lesson_decisions(spark, sf_dir):
-    """What each lesson leads to."""
-    o = _outcomes(spark, sf_dir).select(F.col("id").alias("trace_id"), "calls", F.col("outcome").alias("trace_outcome"))
-    return lifecycle.decisions(_lessons(spark, sf_dir), o, F.lit(1000))
+    """What each lesson leads to, and the skill it is about."""
+    o, lessons, skills = _outcomes(spark, sf_dir), _lessons(spark, sf_dir), _skills(spark, sf_dir)
+    d = lessons.select("id", "ts", F.coalesce("generalizable", F.lit(False)).alias("generalizable"), text.distinctive_words(F.col("triggers"), F.col("rule")).alias("words"))
+    related = retrieval.related_lessons(d, d, 1).select(F.col("qid").alias("id"))
+    tried = o.where("eval_id is not null").select(F.explode("skills_used").alias("name"))
+    return lifecycle.decisions(lessons, o.select(F.col("id").alias("trace_id"), "eval_id", "calls", F.col("outcome").alias("trace_outcome")), skills, retrieval.duplicates_of(lessons, skills), related, tried)
 
 
 @query(f"WITH {LESSONS} SELECT skill_ref AS name, count(DISTINCT id) AS lessons, count(DISTINCT trace_id) AS traces, count(DISTINCT id) < 2 AS provisional FROM le WHERE skill_ref IS NOT NULL GROUP BY skill_ref")
@@ -494,11 +597,11 @@ def evidence_union(spark, sf_dir):
     return lifecycle.evidence(_lessons(spark, sf_dir))
 
 
-@query(f"WITH {LESSONS}, x AS (SELECT skill_ref AS name, ts, id, rule, coalesce(sum(len(rule) + 2) OVER (PARTITION BY skill_ref ORDER BY ts DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM le WHERE skill_ref IS NOT NULL AND rule IS NOT NULL) SELECT name, right(string_agg(rule, chr(10) || chr(10) ORDER BY ts, id), 600) AS context FROM x WHERE after < 600 GROUP BY name")
+@query(f"WITH {LESSONS}, x AS (SELECT skill_ref AS name, ts, id, rule, coalesce(sum(len(rule) + 2) OVER (PARTITION BY skill_ref ORDER BY ts DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM le WHERE skill_ref IS NOT NULL AND rule IS NOT NULL) SELECT name, right(string_agg(rule, chr(10) || chr(10) ORDER BY ts, id), 8000) AS context FROM x WHERE after < 8000 GROUP BY name")
 def skill_context(spark, sf_dir):
-    """The last 600 characters of the rules behind each skill, in order of time."""
+    """The last 8000 characters of the rules behind each skill, in order of time."""
     d = _lessons(spark, sf_dir).withColumnRenamed("skill_ref", "name")
-    return lifecycle.context_tail(d, "name", ["ts", "id"], "rule", 600)
+    return lifecycle.context_tail(d, "name", ["ts", "id"], "rule")
 
 
 @query(f"WITH {LESSONS} SELECT le.id, le.trace_id FROM le WHERE trace_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM traces t WHERE t.id = le.trace_id)")
@@ -515,14 +618,14 @@ def library_stats(spark, sf_dir):
     return s.unionByName(of("lessons", _lessons(spark, sf_dir).agg(F.count("*").alias("n")))).unionByName(of("traces", _traces(spark, sf_dir).agg(F.count_distinct("id").alias("n")))).unionByName(of("tasks", table(spark, sf_dir, "tasks").agg(F.count_distinct("id").alias("n"))))
 
 
-@query(f"WITH {OUTCOME}, r AS (SELECT outcome = 'success' AS ok, row_number() OVER (ORDER BY ts DESC, id) AS k FROM oc WHERE ts IS NOT NULL), t AS (SELECT *, count(*) OVER () AS n FROM r WHERE k <= 200) SELECT count(*) AS episodes, round(avg(ok::INTEGER), 9)::DOUBLE AS rate, round(avg(ok::INTEGER) FILTER (WHERE k > n - n // 2), 9)::DOUBLE AS first_half, round(avg(ok::INTEGER) FILTER (WHERE k <= n - n // 2), 9)::DOUBLE AS second_half, round(avg(ok::INTEGER) FILTER (WHERE k <= 20), 9)::DOUBLE AS last_20 FROM t")
+@query(f"WITH {OUTCOME}, r AS (SELECT outcome = 'success' AS ok, row_number() OVER (ORDER BY ts DESC, id) AS k FROM oc WHERE ts IS NOT NULL), t AS (SELECT *, count(*) OVER () AS n FROM r WHERE k <= 200) SELECT count(*) AS episodes, round(avg(ok::INTEGER), 9)::DOUBLE AS rate, round(avg(ok::INTEGER) FILTER (WHERE n >= 4 AND k > n - n // 2), 9)::DOUBLE AS first_half, round(avg(ok::INTEGER) FILTER (WHERE n >= 4 AND k <= n - n // 2), 9)::DOUBLE AS second_half, round(avg(ok::INTEGER) FILTER (WHERE k <= 20), 9)::DOUBLE AS last_20 FROM t")
 def episode_metrics(spark, sf_dir):
-    """Success rates over the newest 200 traces (the report's size): all, halves in order of time, last 20."""
+    """Success rates over the newest 200 traces (the report's size): all, halves in order of time (of at least 4), last 20."""
     d = _outcomes(spark, sf_dir).where("ts is not null").orderBy(F.desc("ts"), "id").limit(200).select("ts", "id", (F.col("outcome") == "success").cast("int").alias("ok"))
     d = d.withColumns({"k": F.row_number().over(Window.orderBy(F.desc("ts"), "id")), "n": F.count("*").over(Window.partitionBy())})  # 200 rows
     half = F.col("n") - F.floor(F.col("n") / 2)
     mean = lambda c: F.round(F.avg(F.when(c, F.col("ok"))), 9)
-    return d.agg(F.count("*").alias("episodes"), mean(F.lit(True)).alias("rate"), mean(F.col("k") > half).alias("first_half"), mean(F.col("k") <= half).alias("second_half"), mean(F.col("k") <= 20).alias("last_20"))
+    return d.agg(F.count("*").alias("episodes"), mean(F.lit(True)).alias("rate"), mean((F.col("n") >= 4) & (F.col("k") > half)).alias("first_half"), mean((F.col("n") >= 4) & (F.col("k") <= half)).alias("second_half"), mean(F.col("k") <= 20).alias("last_20"))
 
 
 # ---- statistics
