@@ -67,9 +67,10 @@ def quote_in(quote: Column, t: Column) -> Column:
 
 
 def yaml_quote(t: Column) -> Column:
-    """A scalar for YAML: line ends as spaces, quoted if it holds anything special."""
-    flat = F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"\s*\n\s*", " "))
-    return F.when(flat.rlike(r"[:#\[\]{}&*!|>'\"%@`,]|^[-?]|^$"), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(flat, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))).otherwise(flat)
+    """A scalar for YAML: line ends as spaces, quoted with escapes if it holds a colon, hash, quote, brace or bracket."""
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce(t, F.lit("")), "\n", " "), r"^\s+|\s+$", "")
+    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, r"\\", r"\\\\"), '"', r'\\"'), "\t", r"\\t")
+    return F.when(flat.rlike(r"[:#\"'{}\[\]]"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(flat)
 
 
 def content_text(blocks: Column) -> Column:
@@ -82,6 +83,6 @@ def short(t: Column, most: int = 500) -> Column:
     return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("…"))).otherwise(t)
 
 
-def learning_message(ok: Column, stage: Column, error: Column) -> Column:
-    """What an attempt tells: that it passed, its traceback, or what was expected."""
-    return F.when(ok, "passed").when(stage == "code", F.concat(F.lit("Traceback:\n"), F.coalesce(error, F.lit("")))).otherwise(F.concat(F.lit("Assertion: "), F.coalesce(error, F.lit(""))))
+def learning_message(ok: Column, stage: Column, error: Column, check: Column) -> Column:
+    """What an attempt tells a learner: that it passed, its error if the code crashed, or the assertion that failed."""
+    return F.when(ok, "tests passed").when(stage == "code", F.coalesce(error, F.lit(""))).otherwise(F.concat(F.lit("AssertionError: test failed: assert "), F.coalesce(check, F.lit(""))))
