@@ -9,6 +9,7 @@ from tracewell.functions import context, messages, text
 from tracewell.operators import lifecycle, reports, retrieval, sessions, stats, traces
 from tracewell.queries import _WIL, FACET, LATEST, LESSONS, ORACLES, OUTCOME, PROFILE, QUERIES, SKILLS, _asked, _lessons, _lit, _outcomes, _skills, _traces, query
 from tracewell.sources.tables import table
+from tracewell.streaming import ingest
 
 EVAL = f"{OUTCOME}, ev AS (SELECT eval_id AS id, skills_used[1] AS skill, CASE WHEN outcome = 'success' AND confidence >= 0.5 THEN 'passed' ELSE 'failed' END AS status, id AS trace_id FROM (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY ts DESC NULLS LAST, id) AS nth FROM oc WHERE eval_id IS NOT NULL) q WHERE q.nth = 1)".replace("SELECT * EXCLUDE (s, f, p)", "SELECT * EXCLUDE (s, f, p, nth)")
 
@@ -439,3 +440,24 @@ def hybrid_eval(spark, sf_dir):
     d = own.join(top, "qid", "left")
     live, got, right = F.col("live"), F.col("got").isNotNull(), F.coalesce(F.col("got") == F.col("qid"), F.lit(False))
     return d.agg(F.count_if(live & right).alias("tp"), F.count_if((live & got & ~right) | (~live & got)).alias("fp"), F.count_if(live & ~got).alias("fn"), F.count_if(~live & ~got).alias("tn"))
+
+
+# ---- streams
+
+
+@query("WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events), w AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT epoch_us(day) AS day, event_type, n FROM w, m WHERE day + INTERVAL 1 DAY <= mark")
+def stream_windows(spark, sf_dir):
+    """Events by day and type as a stream with a watermark: the days it has closed."""
+    d = ingest.windows(_events(spark, sf_dir), "ts", ["event_type"])
+    return d.select(F.unix_micros("from").alias("day"), "event_type", "n")
+
+
+@query("SELECT user_id, count(*) AS n, epoch_us(max(ts)) AS last FROM events GROUP BY user_id")
+def stream_counters(spark, sf_dir):
+    """Events of each user, counted as state of a stream, repeats once."""
+    d = ingest.counters(_events(spark, sf_dir), "user_id", "event_id", "ts")
+    return d.select("user_id", "n", F.unix_micros("last").alias("last"))
+
+
+def _events(spark, sf_dir):
+    return ingest.files_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -27,7 +27,7 @@ def _text(c: Column) -> Column:
 def skill_md(name: Column, description: Column, body: Column, provisional: Column) -> Column:
     """A skill as a file: front matter (a provisional one says so in its description) and body."""
     weak = F.coalesce(provisional, F.lit(False)) & ~F.contains(F.lower(_text(description)), F.lit("provisional"))
-    told = F.when(weak, F.concat(F.regexp_replace(_text(description), r"\.+$", ""), F.lit(PROVISIONAL))).otherwise(_text(description))
+    told = F.when(weak, F.concat(F.regexp_replace(_text(description), r"\.+\z", ""), F.lit(PROVISIONAL))).otherwise(_text(description))
     return F.concat(F.lit("---\nname: "), _text(name), F.lit("\ndescription: "), yaml_quote(told), F.lit("\n---\n\n"), F.regexp_replace(_text(body), r"^\s+|\s+$", ""), F.lit("\n"))
 
 

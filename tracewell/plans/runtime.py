@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none, as in tests on one machine, a local temporary folder is made and remembered in
-    the session's own settings.
+    Only where the session names none and its master is local, as in tests on one machine, a temporary folder is made and
+    remembered in the session's own settings; on a cluster that would be a folder of each machine, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracewell.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("tracewell.shared.dir", named)
     return named.rstrip("/")
@@ -48,10 +50,13 @@ def width(spark: SparkSession) -> int:
     return max(4, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out evenly if its scan has fewer parts than tasks can run, so that work in Python uses all cores.
+#: Bytes up to which a scan is dealt out.
+SPREAD_MOST = 4 << 30
 
-    That is so only for inputs of a few files below the size of a split; others are read where they lie, unshuffled.
-    """
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if its scan has fewer parts than tasks can run and at most ``SPREAD_MOST`` bytes, so that
+    work in Python uses all cores; larger inputs are read where they lie, unshuffled."""
     tasks = width(df.sparkSession)
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_MOST
+    return df.repartition(tasks) if small and df.rdd.getNumPartitions() < tasks else df
