@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,14 @@ def _kinds(words: list[str], hashes: np.ndarray, frequent: np.ndarray) -> list[s
     return [("0" if not w.isalpha() else w if c else "N") for w, c in zip(words, common.tolist(), strict=True)]
 
 
+def _hashes(words: list[str], h: pa.ListScalar) -> np.ndarray:
+    """The words' hashes, from the JVM where both sides find the same words, else made here (they are the same)."""
+    given = h.values.to_numpy(zero_copy_only=False) if h.is_valid else np.zeros(0, np.int64)
+    if len(given) == len(words):
+        return given
+    return np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64).view(np.int64)
+
+
 def _joined(kind: str, low: str, start: int, end: int) -> str:
     """A word's kind with the signs between it and the word before."""
     gap = low[start:end].strip()
@@ -127,10 +136,10 @@ def contexts(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 low = body.lower()
                 found = list(_word.finditer(low))
                 n = len(found)
-                hashes = h.values.to_numpy(zero_copy_only=False)
-                if not n or len(hashes) < n:
+                if not n:
                     continue
-                kind = _kinds([m.group() for m in found], hashes[:n], flags)
+                own = [m.group() for m in found]
+                kind = _kinds(own, _hashes(own, h), flags)
                 a, c2 = "$", "$"
                 for i in range(n - 1):
                     last = _joined(kind[i], low, found[i - 1].end(), found[i].start()) if i and c2 not in "^$" else kind[i]
@@ -177,12 +186,11 @@ def endings(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 low = body.lower()
                 found = list(_word.finditer(low))
                 n = len(found)
-                hashes = h.values.to_numpy(zero_copy_only=False)
-                if not n or len(hashes) < n:
-                    kind = []
-                else:
+                kind = []
+                if n:
                     at = max(0, n - 3)
-                    kind = _kinds([m.group() for m in found[at:]], hashes[at:n], flags)
+                    own = [m.group() for m in found]
+                    kind = _kinds(own[at:], _hashes(own, h)[at:], flags)
                     for j in range(n - at - 2, -1, -1):  # words of an earlier statement don't count
                         if _stop.match(body, found[at + j].end()):
                             kind = ["^", "^", *kind[j + 1 :]][-3:]
@@ -204,7 +212,8 @@ def endings(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def cut_texts(traces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cut, texts, limits): cut is (trace_id, step_pos, call_pos, field, agent), a row per text that was cut.
+    """(cut, texts, limits): cut is (trace_id, step_pos, call_pos, field, agent, cause), a row per text that was cut; the
+    cause is the first that holds of limit, broken, mark, dots and ending.
 
     ``traces``: id, agent, steps. Null or empty texts, null steps or calls and null ids are no cases; texts of a null
     agent have no significant lengths; a trace delivered twice counts once; empty tables give empty results. Whole texts
@@ -220,7 +229,11 @@ def cut_texts(traces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     twos = table.groupBy("b", "c").agg(*sums("b", "c"))
     ones = table.groupBy("b").agg(F.sum(F.col("within") + F.col("finals")).alias("after1"))
     look = stage(endings(texts, frequent), "endings")
-    judged = look.join(table, ["a", "b", "c"], "left").join(pairs, ["a", "b"], "left").join(twos, ["b", "c"], "left").join(ones, "b", "left").join(limits.select("agent", "length", F.lit(True).alias("limit")), ["agent", "length"], "left")
+    # Endings whose words tell nothing have nothing to look up; they would all meet under one key. Counts by one word are
+    # at most as many as the words above NAME_SHARE.
+    bare = F.col("c") == "$"
+    met = look.where(~bare).join(table, ["a", "b", "c"], "left").join(pairs, ["a", "b"], "left").join(twos, ["b", "c"], "left").join(F.broadcast(ones), "b", "left")
+    judged = met.unionByName(look.where(bare), allowMissingColumns=True).join(limits.select("agent", "length", F.lit(True).alias("limit")), ["agent", "length"], "left")
     within, finals, after, within2, finals2, after1 = (F.coalesce(F.col(x), F.lit(0)) for x in ("within", "finals", "after", "within2", "finals2", "after1"))
     share: Column = F.col("ends") / F.when(within > 0, within)
     share2: Column = F.col("ends2") / F.when(within2 > 0, within2)
@@ -234,5 +247,7 @@ def cut_texts(traces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     is_open = F.col("open") | often | torn
     at_limit = yes(F.col("limit"))
     closed = ~F.col("open") & yes(F.when(within >= SEEN, share >= CLOSED).otherwise((finals >= SEEN) & ((within + finals) / F.when(after > 0, after) >= CLOSED)))
-    cut = judged.where(F.col("broken") | at_limit | (F.col("mark") == 2) | ((F.col("mark") == 1) & ~closed) | ((F.col("mark") == 0) & is_open))
-    return cut.select("trace_id", "step_pos", "call_pos", "field", "agent").dropDuplicates(["trace_id", "step_pos", "call_pos", "field"]), texts, limits
+    # The first reason that holds: a hazard or a broken character is evidence by itself, an ending only what is left.
+    cause = F.when(at_limit, "limit").when(F.col("broken"), "broken").when(F.col("mark") == 2, "mark").when((F.col("mark") == 1) & ~closed, "dots").when((F.col("mark") == 0) & is_open, "ending")
+    cut = judged.select("trace_id", "step_pos", "call_pos", "field", "agent", cause.alias("cause")).where(F.col("cause").isNotNull())
+    return cut.dropDuplicates(["trace_id", "step_pos", "call_pos", "field"]), texts, limits

@@ -9,6 +9,7 @@ word.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -77,12 +78,12 @@ class Index:
             # The blocks in which the item would stand.
             bound, ends = 0.0, []
             for c in upto:
-                b = c[4] // BLOCK
-                while (last := min((b + 1) * BLOCK, len(c[0])) - 1) < len(c[0]) - 1 and c[0][last] < item:
-                    b += 1
-                if c[0][last] >= item:
+                ids = c[0]
+                p = bisect_left(ids, item, c[4])
+                if p < len(ids):
+                    b = p // BLOCK
                     bound += c[2][b]
-                    ends.append(c[0][last])
+                    ends.append(ids[min((b + 1) * BLOCK, len(ids)) - 1])
             if bound < 1:
                 target = min([*(e + 1 for e in ends), *(c[0][c[4]] for c in cursors[pivot + 1 : pivot + 2])], default=item + 1)
                 target = max(target, item + 1)
@@ -93,10 +94,7 @@ class Index:
             else:
                 target = item
             for c in upto:
-                p, ids = c[4], c[0]
-                while p < len(ids) and ids[p] < target:
-                    p += 1
-                c[4] = p
+                c[4] = bisect_left(c[0], target, c[4])  # postings of skipped blocks aren't walked
             cursors = [c for c in cursors if c[4] < len(c[0])]
         return found
 

@@ -56,10 +56,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each agent and field: texts, cut texts, and the rate of cut ones."""
+    """For each agent and field: texts, cut texts, the rate of cut ones, and how many of them stand at a significant length,
+    have a mark (words, dots or a broken character), or are known by their ending alone."""
     cut, texts, _ = cuts.cut_texts(table(spark, sf_dir, "traces"))
     every = texts.groupBy("agent", "field").agg(F.count_distinct("trace_id", "step_pos", "call_pos").alias("texts"))
-    return every.join(cut.groupBy("agent", "field").agg(F.count("*").alias("cut")), ["agent", "field"], "left").select("agent", "field", "texts", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("texts")).alias("rate"))
+    of = lambda *kinds: F.count_if(F.col("cause").isin(*kinds))
+    sums = cut.groupBy(F.col("agent").alias("_a"), F.col("field").alias("_f")).agg(F.count("*").alias("cut"), of("limit").alias("at_limit"), of("broken", "mark", "dots").alias("marked"), of("ending").alias("by_ending"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    met = every.join(sums, F.col("agent").eqNullSafe(F.col("_a")) & (F.col("field") == F.col("_f")), "left")
+    return met.select("agent", "field", "texts", zero("cut"), (F.coalesce("cut", F.lit(0)) / F.col("texts")).alias("rate"), zero("at_limit"), zero("marked"), zero("by_ending"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,13 @@ def similar_pairs(df: DataFrame, key: str, vector: str, dim: int, k: int, least:
     src = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull())
     src = src.where(F.size("v") == dim).where(F.exists("v", lambda v: v != 0) & F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
     one = stage(src.groupBy("key").agg(F.min("v").alias("v")).withColumn("cls", F.xxhash64("v")), "vectors")
-    classes = stage(one.groupBy("cls").agg(F.first("v").alias("v"), F.count("*").alias("copies")).withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(1 << 30))), "vector-classes")
+    # Classes are equal vectors; where two of them have one hash (about n * n / 2 ** 65 are expected), both take another.
+    same = one.groupBy("v").agg(F.first("cls").alias("cls"), F.count("*").alias("copies"))
+    classes = stage(same.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(1 << 30))), "vector-classes")
+    twice = [r[0] for r in classes.groupBy("cls").count().where("count > 1").select("cls").collect()]
+    if twice:
+        other = F.when(F.col("cls").isin(twice), F.xxhash64("v", F.lit(1))).otherwise(F.col("cls"))
+        one, classes = one.withColumn("cls", other), classes.withColumn("cls", other)
     n = classes.count()
     least_tasks = min(width(spark), max(1, n // 200))
     centres_n = max(1, least_tasks, -(-n * ROUTES // SHARD))
@@ -212,16 +218,18 @@ def similar_pairs(df: DataFrame, key: str, vector: str, dim: int, k: int, least:
         for p in batches:
             if len(p):
                 near = np.argpartition(-(unit(np.stack(p["v"])) @ c.T), routes - 1, axis=1)[:, :routes]
-                yield pd.DataFrame({"shard": near.ravel().astype(np.int32), "cls": np.repeat(p["cls"].to_numpy(), routes), "part": np.repeat(p["part"].to_numpy(), routes), "v": np.repeat(p["v"].to_numpy(), routes)})
+                yield pd.DataFrame({"cls": p["cls"], "part": p["part"], "v": p["v"], "shards": list(near.astype(np.int32))})
 
-    routed = classes.select("cls", "part", "v").mapInPandas(route, "shard int, cls long, part long, v array<float>")
-    sizes = {r[0]: r[1] for r in classes.select("cls", "part", "v").mapInPandas(route, "shard int, cls long, part long, v array<float>").groupBy("shard").count().collect()}  # a row per centre
-    fixed = lambda most: F.element_at(F.create_map(*(F.lit(x) for s in range(len(centres)) for x in (s, -(-sizes.get(s, 1) // most)))), F.col("shard"))
-    cut = routed.withColumns({"own": F.pmod("part", fixed(SHARD_MOST)).cast("int"), "turn": F.pmod(F.xxhash64("part"), fixed(ANSWERS)).cast("int")})
+    # Routes are found once and staged with the vector; sizes of shards are counted from them and joined, a row a centre.
+    routed = stage(classes.select("cls", "part", "v").mapInPandas(route, "cls long, part long, v array<float>, shards array<int>"), "routes")
+    sizes = routed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("size"))
+    parts = lambda most: F.ceil(F.col("size") / most).cast("int")
+    cut = routed.select("cls", "part", "v", F.explode("shards").alias("shard")).join(F.broadcast(sizes.select("shard", parts(SHARD_MOST).alias("parts"), parts(ANSWERS).alias("turns"))), "shard")
+    cut = cut.withColumns({"own": F.pmod("part", "parts").cast("int"), "turn": F.pmod(F.xxhash64("part"), F.col("turns")).cast("int")})
     # A vector asks in its own turn of each part; in its own part it stands in the graph of every turn.
     places = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
-    asks = places(fixed(SHARD_MOST), lambda i: F.struct(i.alias("at"), F.col("turn").alias("block"), F.lit(True).alias("asks")))
-    stands = F.filter(places(fixed(ANSWERS), lambda i: F.struct(F.col("own").alias("at"), i.alias("block"), F.lit(False).alias("asks"))), lambda x: x["block"] != F.col("turn"))
+    asks = places(F.col("parts"), lambda i: F.struct(i.alias("at"), F.col("turn").alias("block"), F.lit(True).alias("asks")))
+    stands = F.filter(places(F.col("turns"), lambda i: F.struct(F.col("own").alias("at"), i.alias("block"), F.lit(False).alias("asks"))), lambda x: x["block"] != F.col("turn"))
     cut = cut.select("shard", "own", "cls", "v", F.inline(F.concat(asks, stands)))
 
     def answer(p: pd.DataFrame) -> pd.DataFrame:
