@@ -35,3 +35,9 @@ def test_retrieval_eval_pairs(spark, wide):
     rows, records = shuffled(spark, lambda: QUERIES["retrieval_eval"](spark, wide))
     assert [(r["class"], r.n, r.hits, r.false_fires) for r in rows] == [("active", N, N, 0)]
     assert records < N * N / 4
+
+
+def test_offline_bench_pairs(spark, wide):
+    rows, records = shuffled(spark, lambda: QUERIES["offline_bench"](spark, wide))
+    assert [(r.n, r.at_1, r.in_set, r.false_fires) for r in rows] == [(N, N, N, 0)]
+    assert records < N * N / 4
