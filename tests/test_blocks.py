@@ -41,3 +41,10 @@ def test_offline_bench_pairs(spark, wide):
     rows, records = shuffled(spark, lambda: QUERIES["offline_bench"](spark, wide))
     assert [(r.n, r.at_1, r.in_set, r.false_fires) for r in rows] == [(N, N, N, 0)]
     assert records < N * N / 4
+
+
+def test_error_recall_pairs(spark, wide):
+    asked = spark.createDataFrame([(i, f"OSError: alpha broke at own{i}") for i in range(N)], "qid int, text string")
+    rows, records = shuffled(spark, lambda: retrieval.coverage(asked, spark.read.parquet(f"{wide}/skills.parquet"), 1, error=True))
+    assert {(r.qid, r.name, r.score) for r in rows} == {(i, f"alpha-n{i}x", 1.0) for i in range(N)}
+    assert records < N * N / 4
