@@ -48,3 +48,11 @@ def test_error_recall_pairs(spark, wide):
     rows, records = shuffled(spark, lambda: retrieval.coverage(asked, spark.read.parquet(f"{wide}/skills.parquet"), 1, error=True))
     assert {(r.qid, r.name, r.score) for r in rows} == {(i, f"alpha-n{i}x", 1.0) for i in range(N)}
     assert records < N * N / 4
+
+
+def test_lesson_duplicates_pairs(spark, wide):
+    lib = spark.read.parquet(f"{wide}/skills.parquet")
+    lessons = spark.createDataFrame([(f"l{i}", [f"alpha n{i}x"], "") for i in range(N)] + [("none", ["gamma"], None), ("half", ["alpha"], "nothing of beta")], "id string, triggers array<string>, rule string")
+    rows, records = shuffled(spark, lambda: retrieval.duplicates_of(lessons, lib))
+    assert {r.id: (r.name, r.score) for r in rows} == {f"l{i}": (f"alpha-n{i}x", 1.0) for i in range(N)}
+    assert records < N * N / 4
