@@ -56,3 +56,11 @@ def test_lesson_duplicates_pairs(spark, wide):
     rows, records = shuffled(spark, lambda: retrieval.duplicates_of(lessons, lib))
     assert {r.id: (r.name, r.score) for r in rows} == {f"l{i}": (f"alpha-n{i}x", 1.0) for i in range(N)}
     assert records < N * N / 4
+
+
+def test_related_lessons_pairs(spark, wide):
+    d = spark.read.parquet(f"{wide}/lessons.parquet").selectExpr("id", "ts", "generalizable", "split(concat_ws(' ', triggers[0], rule), ' ') AS words")
+    rows, records = shuffled(spark, lambda: retrieval.related_lessons(d, d))
+    newest = [f"{i:08x}" for i in reversed(range(N))]
+    assert {(r.qid, r["rank"], r.id, r.shared) for r in rows} == {(q, k + 1, x, 4) for q in newest for k, x in enumerate([x for x in newest[:5] if x != q][:4])}
+    assert records < N * N / 4
