@@ -64,3 +64,12 @@ def test_related_lessons_pairs(spark, wide):
     newest = [f"{i:08x}" for i in reversed(range(N))]
     assert {(r.qid, r["rank"], r.id, r.shared) for r in rows} == {(q, k + 1, x, 4) for q in newest for k, x in enumerate([x for x in newest[:5] if x != q][:4])}
     assert records < N * N / 4
+
+
+def test_hybrid_recall_pairs(spark, wide):
+    lib = spark.read.parquet(f"{wide}/skills.parquet")
+    asked, vectors = lib.selectExpr("name AS qid", "queries[0] AS text"), lib.selectExpr("name AS qid", "embedding AS v")
+    rows, records = shuffled(spark, lambda: retrieval.hybrid_recall(asked, vectors, lib))
+    top = {r.qid: r.name for r in rows if r["rank"] == 1}
+    assert len(rows) == 3 * N and len(top) == N and all(abs(int(a[7:-1]) - int(b[7:-1])) <= 6 for a, b in top.items())  # a near one, fused with its words
+    assert records < N * N / 2
