@@ -73,3 +73,10 @@ def test_hybrid_recall_pairs(spark, wide):
     top = {r.qid: r.name for r in rows if r["rank"] == 1}
     assert len(rows) == 3 * N and len(top) == N and all(abs(int(a[7:-1]) - int(b[7:-1])) <= 6 for a, b in top.items())  # a near one, fused with its words
     assert records < N * N / 2
+
+
+def test_hybrid_eval_pairs(spark, wide):
+    rows, records = shuffled(spark, lambda: QUERIES["hybrid_eval"](spark, wide))
+    asked = spark.read.parquet(f"{wide}/skills.parquet").where("conv(left(md5(name), 8), 16, 10) % 20 = 0").count()
+    assert [(r.tp + r.fp + r.fn, r.tn) for r in rows] == [(asked, 0)]
+    assert records < 10_000
