@@ -1,20 +1,22 @@
 """Recall over wide tables: the pairs that share a word are scored in memory, not shuffled."""
 
+import numpy as np
 import pytest
 
 from tracewell.catalogue import QUERIES
 from tracewell.operators import retrieval
+from tracewell.plans.blocks import in_blocks
 
 N = 300
 
 
-def shuffled(spark, df):
-    """The rows of ``df``, and how many records its stages wrote to shuffles."""
+def shuffled(spark, df, what="shuffleWriteRecords"):
+    """The rows of ``df``, and how many records (or what of ``what``) its stages wrote to shuffles."""
     g = spark.sparkContext._gateway
 
     def written():
         stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, g.new_array(g.jvm.double, 0), g.jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+        return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
     before = written()
     rows = df().collect()
@@ -80,3 +82,41 @@ def test_hybrid_eval_pairs(spark, wide):
     asked = spark.read.parquet(f"{wide}/skills.parquet").where("conv(left(md5(name), 8), 16, 10) % 20 = 0").count()
     assert [(r.tp + r.fp + r.fn, r.tn) for r in rows] == [(asked, 0)]
     assert records < 10_000
+
+
+def test_hybrid_eval_bytes(spark, tmp_path):
+    # Vectors travel twice, for the latest export and to their block; those of exports that can't be retrieved don't.
+    n, size = 400, 500
+    v = np.random.default_rng(1).normal(1.5, size=(n, size)).astype(np.float32)
+    rows = [(f"alpha-n{i}x", f"handles alpha for own{i}", "active" if i % 2 else "retired", 1, 0, 0, 1.0, v[i].tolist(), ["alpha"], [], [], [f"alpha beta own{i}"]) for i in range(n)]
+    spark.createDataFrame(rows, "name string, description string, status string, version int, uses long, recalls long, updated double, embedding array<float>, applies_when array<string>, symptoms array<string>, not_for array<string>, queries array<string>").write.parquet(f"{tmp_path}/skills.parquet")
+    rows, written = shuffled(spark, lambda: QUERIES["hybrid_eval"](spark, str(tmp_path)), "shuffleWriteBytes")
+    assert sum(rows[0]) > 10
+    assert written < 1.5 * v.nbytes
+
+
+def test_hybrid_recall_parts(spark, monkeypatch):
+    # One pass over blocks equals the parts one after the other, odd queries and vectors included.
+    r = np.random.default_rng(5)
+    words = ["rebase", "merge", "docker", "image", "cache", "alembic", "pytest", "fixture", "v1.2", "of"]
+    some = lambda k: " ".join(r.choice(words, k))
+    skills = []
+    for i in range(90):
+        v = [0.0] * 4 if i == 7 else [1.0, 2.0] if i == 8 else None if i == 9 else [] if i == 10 else [float(x) for x in r.integers(-2, 4, 4)]
+        skills.append((f"{'write' if i % 9 == 0 else 'fix'}-{r.choice(words[:8])}-{i}", some(4), ("active", " Candidate", "retired")[i % 3], 1, 0, 0, float(i), v, [some(2)] if i % 4 else None, [some(2), None], [some(1)] if i % 5 == 0 else [], [some(3), some(2)] if i % 2 else None))
+    skills.append((*skills[0][:2], "retired", 1, 0, 0, 99.0, *skills[0][7:]))  # a later export
+    lib = spark.createDataFrame(skills, "name string, description string, status string, version int, uses long, recalls long, updated double, embedding array<float>, applies_when array<string>, symptoms array<string>, not_for array<string>, queries array<string>")
+    texts = [None, "", "of", "3 4", "what is a rebase", "write a poem", "write a new docker image", "fix v1.2"] + [f"fix {some(k % 6 + 1)}" for k in range(40)]
+    asked = spark.createDataFrame([(skills[i][0] if i % 3 == 0 else f"q{i}", t) for i, t in enumerate(texts)], "qid string, text string")
+    vectors = asked.select("qid").collect()
+    vectors = spark.createDataFrame([(q.qid, [1.0, 1.0] if i == 11 else [0.0] * 4 if i == 12 else None if i == 13 else [float(x) for x in r.integers(-2, 4, 4)]) for i, q in enumerate(vectors) if i != 14] + [("unasked", [1.0] * 4)], "qid string, v array<float>")
+    monkeypatch.setattr(retrieval, "in_blocks", lambda *a, **k: in_blocks(*a, **k | {"most": 12}))
+    kept = retrieval.latest_skills(lib).where("status in ('active', 'candidate')")
+    near = retrieval.cosine_topk(vectors, kept.selectExpr("name AS id", "embedding AS v"), 10, 0.45).withColumnRenamed("id", "name")
+    lexical = retrieval.coverage(asked, lib, 1000).select("qid", "name", "score")
+    alone = retrieval.precision_gate(near.join(lexical, ["qid", "name"], "left_anti"), asked, kept)
+    both = near.join(lexical, ["qid", "name"], "left_semi").select("qid", "name", "cosine").unionByName(alone)
+    parts = retrieval.hybrid(lexical.withColumnRenamed("name", "id"), both.withColumnRenamed("name", "id"), 3)
+    whole = lambda d, c: sorted((x.qid, x["rank"], x[c], round(x.score, 9)) for x in d.collect())
+    got = whole(retrieval.hybrid_recall(asked, vectors, lib), "name")
+    assert got == whole(parts, "id") and len({q for q, *_ in got}) > 30 and {"q1", "q2"} & {q for q, *_ in got}
